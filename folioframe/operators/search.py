@@ -213,13 +213,15 @@ def weighted_fuse(dense: DataFrame, sparse: DataFrame, dense_weight: float = 0.5
     if dense_weight < 0 or sparse_weight < 0 or dense_weight + sparse_weight == 0:
         raise ValueError("weights must not be negative and not both be zero")
     total = dense_weight + sparse_weight
-    d = normalize_scores(dense).select("query_id", "chunk_id", F.col("normalized").alias("dense_score"))
-    s = normalize_scores(sparse).select("query_id", "chunk_id", F.col("normalized").alias("sparse_score"))
+    d = dense.select("query_id", "chunk_id", _scaled(F.col("score"), "minmax", ["query_id"]).alias("dense_score"))
+    s = sparse.select("query_id", "chunk_id", _scaled(F.col("score"), "minmax", ["query_id"]).alias("sparse_score"))
     both = d.join(s, ["query_id", "chunk_id"], "full_outer").fillna(0.0, ["dense_score", "sparse_score"])
     fused = both.withColumn(
         "score", r6(F.col("dense_score") * (dense_weight / total) + F.col("sparse_score") * (sparse_weight / total))
     )
-    return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best())))
+    return fused.select(
+        "query_id", "chunk_id", r6(F.col("dense_score")).alias("dense_score"), r6(F.col("sparse_score")).alias("sparse_score"),
+        "score", F.row_number().over(Window.partitionBy("query_id").orderBy(*best())).alias("rank"))
 
 
 def attach_scores(fused: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:

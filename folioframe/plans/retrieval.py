@@ -202,8 +202,8 @@ def _(c):
     return S.rrf_fuse(list(_legs(c, 2 * 10))).filter("rank <= 10").drop("runs")
 
 
-cte("unit_legs", """SELECT *, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE
-  (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS unit FROM legs WINDOW w AS (PARTITION BY leg, query_id)""", "legs")
+cte("unit_legs", """SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE
+  (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS unit FROM legs WINDOW w AS (PARTITION BY leg, query_id)""", "legs")
 
 
 cte("fused", """SELECT query_id, chunk_id, coalesce(max(unit) FILTER (leg = 'dense'), 0.0) AS dense_score,
@@ -211,8 +211,8 @@ cte("fused", """SELECT query_id, chunk_id, coalesce(max(unit) FILTER (leg = 'den
 
 
 @query("weighted_fuse", """
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-  SELECT *, round(dense_score * 0.25 + sparse_score * 0.75, 6) AS score FROM fused)""", "fused")
+SELECT query_id, chunk_id, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score, score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT *, round(dense_score * 0.25 + sparse_score * 0.75, 6) AS score FROM fused)""", "fused")
 def _(c):
     sparse, dense = _legs(c)
     return S.weighted_fuse(dense, sparse, 1, 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.plans import ingest, registry, retrieval  # noqa: F401
+from folioframe.plans import ingest, registry, retrieval, texts  # noqa: F401
 
 
 def queries():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ HYPHEN_WORD = r"[\p{L}\p{N}_]+(?:-+[\p{L}\p{N}_]+)*"
 APOSTROPHE_WORD = r"[\p{L}\p{N}_]+(?:['-]+[\p{L}\p{N}_]+)*"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A column that only lambdas refer to would be inlined by the optimizer and computed again
+    for every array element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Blank-separated words, empty ones removed."""
     return F.array_remove(F.split(text, BLANK), "")

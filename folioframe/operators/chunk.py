@@ -77,23 +77,24 @@ def parse_sections(documents: DataFrame) -> DataFrame:
     A section runs from its start to the next start, found as positions in the line array.
     """
     lines = F.filter(F.transform(F.split("text", "\n"), _strip), lambda l: l != "")
-    rows = documents.select("document_id", lines.alias("ls")).filter(F.size("ls") > 0)
-    rows = rows.withColumn("lv", F.transform("ls", heading_level))
-    starts = F.filter(F.sequence(F.lit(1), F.size("ls")), lambda i: (i == 1) | (F.get("lv", i - 1) > 0))
-    rows = rows.withColumn("st", starts)
 
-    def section(s: Column, i: Column) -> Column:
-        stop = F.coalesce(F.get("st", i + 1), F.size("ls") + 1)
-        headed = F.get("lv", s - 1) > 0
+    def cut(ls: Column) -> Column:
+        return X.let(F.transform(ls, heading_level), lambda lv: X.let(
+            F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: (i == 1) | (F.get(lv, i - 1) > 0)),
+            lambda st: F.transform(st, lambda s, i: section(ls, lv, s, i, F.coalesce(F.get(st, i + 1), F.size(ls) + 1)))))
+
+    def section(ls: Column, lv: Column, s: Column, i: Column, stop: Column) -> Column:
+        headed = F.get(lv, s - 1) > 0
         skip = F.when(headed, 1).otherwise(0)
         return F.struct(
             (i + 1).alias("section_index"),
-            F.when(headed, F.get("ls", s - 1)).otherwise("Document").alias("title"),
-            F.when(headed, F.get("lv", s - 1)).otherwise(1).alias("level"),
-            F.array_join(F.slice("ls", s + skip, stop - s - skip), "\n").alias("content"),
+            F.when(headed, F.get(ls, s - 1)).otherwise("Document").alias("title"),
+            F.when(headed, F.get(lv, s - 1)).otherwise(1).alias("level"),
+            F.array_join(F.slice(ls, s + skip, stop - s - skip), "\n").alias("content"),
         )
 
-    return rows.select("document_id", F.inline(F.transform("st", section)))
+    rows = documents.select("document_id", lines.alias("ls")).filter(F.size("ls") > 0)
+    return rows.select("document_id", F.inline(X.let(F.col("ls"), cut)))
 
 
 def structural_heading(line: Column) -> tuple[Column, Column]:
@@ -111,39 +112,45 @@ def structural_heading(line: Column) -> tuple[Column, Column]:
 
 def structural_chunks(documents: DataFrame, max_tokens: int = 500) -> DataFrame:
     """Headings and paragraphs as chunks; a paragraph over ``max_tokens`` is cut by words."""
-    rows = documents.select("document_id", F.split(normalize_lines(F.col("text")), "\n").alias("ls"))
-    rows = rows.withColumn("hd", F.transform("ls", lambda l: structural_heading(l)[0])).withColumn("lv", F.transform("ls", lambda l: structural_heading(l)[1]))
-
-    def begins(i: Column) -> Column:
-        here, before = F.get("ls", i - 1), F.get("ls", i - 2)
-        head = F.get("hd", i - 1).isNotNull()
-        after_break = (i == 1) | (before == "") | F.get("hd", i - 2).isNotNull()
-        return (here != "") & (head | after_break)
-
-    rows = rows.withColumn("st", F.filter(F.sequence(F.lit(1), F.size("ls")), begins))
-    rows = rows.withColumn("heads", F.filter(F.sequence(F.lit(1), F.size("ls")), lambda i: F.get("hd", i - 1).isNotNull()))
-
-    def block(s: Column, i: Column) -> Column:
-        stop = F.coalesce(F.get("st", i + 1), F.size("ls") + 1)
-        is_head = F.get("hd", s - 1).isNotNull()
-        owner = F.try_element_at(F.filter("heads", lambda h: h <= s), F.lit(-1))
-        body = F.array_join(F.array_remove(F.slice("ls", s, stop - s), ""), " ")
+    def marked(line: Column) -> Column:
+        title, level = structural_heading(line)
+        return F.struct(line.alias("t"), title.alias("hd"), level.alias("lv"))
+
+    def begins(ls: Column, i: Column) -> Column:
+        here, before = F.get(ls, i - 1), F.get(ls, i - 2)
+        after_break = (i == 1) | (before["t"] == "") | before["hd"].isNotNull()
+        return (here["t"] != "") & (here["hd"].isNotNull() | after_break)
+
+    def block(ls: Column, heads: Column, s: Column, stop: Column) -> Column:
+        first = F.get(ls, s - 1)
+        owner = F.try_element_at(F.filter(heads, lambda h: h <= s), F.lit(-1))
+        body = F.array_join(F.filter(F.transform(F.slice(ls, s, stop - s), lambda l: l["t"]), lambda t: t != ""), " ")
         return F.struct(
-            is_head.alias("is_head"), F.when(is_head, F.get("hd", s - 1)).otherwise(body).alias("body"),
-            F.get("hd", owner - 1).alias("section_title"), F.coalesce(F.get("lv", owner - 1), F.lit(0)).alias("section_level"),
+            first["hd"].isNotNull().alias("is_head"), F.coalesce(first["hd"], body).alias("body"),
+            F.get(ls, owner - 1)["hd"].alias("section_title"), F.coalesce(F.get(ls, owner - 1)["lv"], F.lit(0)).alias("section_level"),
         )
 
     def pieces(b: Column) -> Column:
-        ws = X.words(b["body"])
-        n = F.size(ws)
-        long = ~b["is_head"] & (F.floor(n * F.lit(1.3)) > max_tokens)
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(max_tokens)), lambda p: F.array_join(F.slice(ws, p, max_tokens), " "))
+        return X.let(X.words(b["body"]), lambda ws: cut(b, ws, ~b["is_head"] & (F.floor(F.size(ws) * F.lit(1.3)) > max_tokens)))
+
+    def cut(b: Column, ws: Column, long: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1)), F.lit(max_tokens))
+        parts = F.when(long, F.transform(starts, lambda p: F.array_join(F.slice(ws, p, max_tokens), " "))).otherwise(F.array(b["body"]))
         kind = F.when(b["is_head"], "heading").when(long, "structural_split").otherwise("structural")
-        return F.transform(F.when(long, cut).otherwise(F.array(b["body"])), lambda t: F.struct(
+        return F.transform(parts, lambda t: F.struct(
             t.alias("text"), kind.alias("chunk_type"), b["section_title"].alias("section_title"), b["section_level"].alias("section_level")))
 
-    blocks = rows.select("document_id", F.flatten(F.transform(F.transform("st", block), pieces)).alias("cs"))
-    return blocks.select("document_id", F.posexplode("cs").alias("chunk_index", "c")).select("document_id", "chunk_index", "c.*")
+    def chunks(ls: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(ls))
+        return X.let(F.filter(at, lambda i: begins(ls, i)), lambda st: X.let(
+            F.filter(at, lambda i: F.get(ls, i - 1)["hd"].isNotNull()),
+            lambda heads: F.flatten(F.transform(st, lambda s, i: pieces_of(ls, heads, s, F.coalesce(F.get(st, i + 1), F.size(ls) + 1))))))
+
+    def pieces_of(ls: Column, heads: Column, s: Column, stop: Column) -> Column:
+        return X.let(block(ls, heads, s, stop), pieces)
+
+    lines = F.transform(F.split(normalize_lines(F.col("text")), "\n"), marked)
+    return documents.select("document_id", F.posexplode(X.let(lines, chunks)).alias("chunk_index", "c")).select("document_id", "chunk_index", "c.*")
 
 
 def fixed_chunks(documents: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
@@ -159,8 +166,6 @@ def fixed_chunks(documents: DataFrame, size: int = 500, overlap: int = 100) -> D
 
 def sentence_pack_chunks(documents: DataFrame, max_words: int = 300) -> DataFrame:
     """Sentences packed in order until the next would exceed ``max_words``."""
-    rows = documents.select("document_id", X.sentences(F.col("text")).alias("ss")).filter(F.size("ss") > 0)
-    counts = F.transform("ss", lambda s: F.size(X.words(s)))
     empty = F.struct(F.lit(0).alias("no"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("nos"))
 
     def step(acc: Column, n: Column) -> Column:
@@ -168,11 +173,18 @@ def sentence_pack_chunks(documents: DataFrame, max_words: int = 300) -> DataFram
         no = acc["no"] + F.when(full, 1).otherwise(0)
         return F.struct(no.alias("no"), F.when(full, n).otherwise(acc["used"] + n).alias("used"), F.array_append(acc["nos"], no).alias("nos"))
 
-    packed = rows.withColumn("nos", F.aggregate(counts, empty, step)["nos"])
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.element_at("nos", -1)),
-        lambda k: F.array_join(F.slice("ss", F.array_position("nos", k).cast("int"), F.size(F.filter("nos", lambda x: x == k))), " "))
-    return packed.select("document_id", F.posexplode(chunks).alias("chunk_index", "text")).withColumn("token_count", F.size(X.words(F.col("text"))))
+    def join(ss: Column, nos: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.element_at(nos, -1)),
+            lambda k: F.array_join(F.slice(ss, F.array_position(nos, k).cast("int"), F.size(F.filter(nos, lambda x: x == k))), " "))
+
+    def pack(ss: Column) -> Column:
+        counts = F.transform(ss, lambda s: F.size(X.words(s)))
+        return X.let(F.aggregate(counts, empty, step)["nos"], lambda nos: join(ss, nos))
+
+    rows = documents.select("document_id", X.sentences(F.col("text")).alias("ss")).filter(F.size("ss") > 0)
+    packed = rows.select("document_id", F.posexplode(X.let(F.col("ss"), pack)).alias("chunk_index", "text"))
+    return packed.withColumn("token_count", F.size(X.words(F.col("text"))))
 
 
 def code_chunks(documents: DataFrame, max_lines: int = 80) -> DataFrame:

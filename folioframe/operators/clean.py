@@ -91,9 +91,11 @@ def resolve_author_list(people: Column) -> Column:
 
 def normalize_keywords(values: Column) -> Column:
     """Case-insensitive distinct, keeping the first spelling. Works inside the row."""
-    cleaned = F.filter(F.transform(values, lambda v: X.squeeze(v)), lambda v: v != "")
-    lowered = F.transform(cleaned, lambda v: F.lower(v))
-    return F.filter(cleaned, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    def keep(cleaned: Column) -> Column:
+        return X.let(F.transform(cleaned, lambda v: F.lower(v)), lambda low: F.filter(
+            cleaned, lambda v, i: F.array_position(low, F.lower(v)) == i + 1))
+
+    return X.let(F.filter(F.transform(values, lambda v: X.squeeze(v)), lambda v: v != ""), keep)
 
 
 def validate_papers(records: DataFrame) -> DataFrame:
@@ -281,7 +283,7 @@ def presence_relevance(results: DataFrame) -> DataFrame:
     """
     body = F.lower(F.concat_ws(" ", "text", "meta_text"))
     named = results.withColumns({"wanted": presence_tokens(F.col("query_text")), "body": body})
-    hits = F.size(F.filter("wanted", lambda t: X.has_term(F.col("body"), t)))
+    hits = X.let(F.col("body"), lambda body: F.size(F.filter("wanted", lambda t: X.has_term(body, t))))
     phrase = F.contains(X.squeeze(F.lower("text")), X.squeeze(F.lower("query_text"))) & (X.squeeze(F.col("query_text")) != "")
     scored = named.withColumn("hits", hits).filter("hits > 0").withColumn(
         "relevance",

@@ -90,11 +90,9 @@ def embed_chunks(chunks: DataFrame, dim: int = 384) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
     )
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm"),
-    )
-    return packed.select("chunk_id", vector.alias("embedding"))
+    dense = X.let(F.struct("m", "norm"), lambda r: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(r["m"], i), F.lit(0)) / r["norm"]))
+    return packed.select("chunk_id", dense.alias("embedding"))
 
 
 def embed_with_model(chunks: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]], dim: int,

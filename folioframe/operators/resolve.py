@@ -190,7 +190,7 @@ def jaccard_pairs(sets: DataFrame, threshold: float, group: list[str], rank: str
     pieces = marked.select(*group, rank, "id", "n", "side", F.posexplode(F.slice("tokens", 1, _prefix_length(F.col("n"), threshold))).alias("pos", "token"))
 
     def named(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*group, "token", *[F.col(c).alias(f"{c}_{tag}") for c in (rank, "id", "n", "pos", "side")])
+        return df.select(*group, "token", *[F.col(c).alias(f"{c}_{tag}") for c in dict.fromkeys((rank, "id", "n", "pos", "side"))])
 
     room = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
     met = named(pieces, "a").join(named(pieces, "b"), [*group, "token"]).filter(

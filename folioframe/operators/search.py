@@ -190,7 +190,8 @@ def rrf_fuse(runs: list[DataFrame], constant: int = 60) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(order))
 
 
-def _scaled(score: Column, kind: str, group: list[str]) -> Column:
+def scaled(score: Column, kind: str, group: list[str]) -> Column:
+    """Scores of one group on a common scale, not rounded."""
     w = Window.partitionBy(*group)
     low, high = F.min(score).over(w), F.max(score).over(w)
     if kind == "zscore":
@@ -205,7 +206,7 @@ def normalize_scores(run: DataFrame, kind: str = "minmax", score: str = "score",
 
     Meant for runs already cut to k rows per query.
     """
-    return run.withColumn("normalized", r6(_scaled(F.col(score), kind, group or ["query_id"])))
+    return run.withColumn("normalized", r6(scaled(F.col(score), kind, group or ["query_id"])))
 
 
 def weighted_fuse(dense: DataFrame, sparse: DataFrame, dense_weight: float = 0.5, sparse_weight: float = 0.5) -> DataFrame:
@@ -213,8 +214,8 @@ def weighted_fuse(dense: DataFrame, sparse: DataFrame, dense_weight: float = 0.5
     if dense_weight < 0 or sparse_weight < 0 or dense_weight + sparse_weight == 0:
         raise ValueError("weights must not be negative and not both be zero")
     total = dense_weight + sparse_weight
-    d = dense.select("query_id", "chunk_id", _scaled(F.col("score"), "minmax", ["query_id"]).alias("dense_score"))
-    s = sparse.select("query_id", "chunk_id", _scaled(F.col("score"), "minmax", ["query_id"]).alias("sparse_score"))
+    d = dense.select("query_id", "chunk_id", scaled(F.col("score"), "minmax", ["query_id"]).alias("dense_score"))
+    s = sparse.select("query_id", "chunk_id", scaled(F.col("score"), "minmax", ["query_id"]).alias("sparse_score"))
     both = d.join(s, ["query_id", "chunk_id"], "full_outer").fillna(0.0, ["dense_score", "sparse_score"])
     fused = both.withColumn(
         "score", r6(F.col("dense_score") * (dense_weight / total) + F.col("sparse_score") * (sparse_weight / total))
@@ -279,7 +280,7 @@ def lexical_rerank(candidates: DataFrame, k: int | None = None) -> DataFrame:
     words = X.words(F.col("q"))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
                        lambda a, b: F.concat(a, F.lit(" "), b))
-    hits = F.size(F.filter(pairs, lambda p: F.contains(F.col("d"), p)))
+    hits = X.let(F.col("d"), lambda d: F.size(F.filter(pairs, lambda p: F.contains(d, p))))
     phrase = (
         F.when((F.col("q") == "") | (F.col("d") == ""), 0.0)
         .when(F.contains(F.col("d"), F.col("q")), 1.0)
@@ -288,7 +289,7 @@ def lexical_rerank(candidates: DataFrame, k: int | None = None) -> DataFrame:
     )
     wanted = _content_terms(F.col("q"))
     in_meta = F.array_distinct(_meta_tokens(F.col("m")))
-    meta_hits = F.size(F.filter(wanted, lambda t: F.array_contains(in_meta, t)))
+    meta_hits = X.let(in_meta, lambda known: F.size(F.filter(wanted, lambda t: F.array_contains(known, t))))
     meta = F.when((F.size(wanted) == 0) | (F.col("m") == ""), 0.0).otherwise(meta_hits / F.size(wanted))
     scored = (
         base.select(*keys, "score", phrase.alias("phrase"), meta.alias("meta"))

@@ -20,8 +20,8 @@ def runs(c: Corpus) -> DataFrame:
 
 def evidence(c: Corpus) -> DataFrame:
     """The run with texts: at most ten rows per query."""
-    scaled = S.normalize_scores(runs(c)).withColumnRenamed("normalized", "relevance")
-    return scaled.join(c.chunks.select("chunk_id", "text", "lang", "source"), "chunk_id")
+    judged = runs(c).withColumn("relevance", S.scaled(F.col("score"), "minmax", ["query_id"]))
+    return judged.join(c.chunks.select("chunk_id", "text", "lang", "source"), "chunk_id")
 
 
 def qa(c: Corpus) -> DataFrame:
@@ -88,8 +88,8 @@ cte("bm25_ranked", """SELECT query_id, chunk_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25""", "bm25")
 cte("runs", "SELECT * FROM bm25_ranked WHERE rank <= 10", "bm25_ranked")
 cte("evidence", """SELECT query_id, chunk_id, score, rank, text, lang, source,
-  round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0
-    ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS relevance
+  CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0
+    ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS relevance
   FROM runs JOIN documents ON chunk_id = doc_id WINDOW w AS (PARTITION BY query_id)""", "runs")
 cte("qa", r"""SELECT item_id AS query_id,
   CASE WHEN regexp_extract(text, '^[^.!?]*[.!?]') = '' THEN text ELSE regexp_extract(text, '^[^.!?]*[.!?]') END AS question,

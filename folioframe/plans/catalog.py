@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.plans import ingest, registry, retrieval, texts  # noqa: F401
+from folioframe.plans import analysis, evidencing, ingest, registry, retrieval, texts  # noqa: F401
 
 
 def queries():
@@ -10,4 +10,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(registry.ORACLES)
+    return {name: registry.with_ctes(sql, *needs) for name, (sql, needs) in registry.ORACLES.items()}

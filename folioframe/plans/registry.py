@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioframe.sources.tables import Corpus
 
 QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, tuple[str, ...]]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None, *needs: str):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql, *needs)
+            ORACLES[name] = (sql, needs)
         return fn
 
     return keep
@@ -62,3 +62,12 @@ def corpus(spark: SparkSession, root: str) -> Corpus:
 
 def runner(fn: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(corpus(spark, sf_dir))
+
+
+def forget() -> None:
+    """Drop what shared views have kept, so that the next query starts from the tables."""
+    for shared in _corpora.values():
+        kept = getattr(shared, "_runs", None)
+        if kept is not None:
+            kept.unpersist()
+    _corpora.clear()

@@ -218,7 +218,7 @@ def _(c):
     return S.weighted_fuse(dense, sparse, 1, 3)
 
 
-@query("normalize_minmax", "SELECT query_id, chunk_id, relevance AS normalized FROM evidence", "evidence")
+@query("normalize_minmax", "SELECT query_id, chunk_id, round(relevance, 6) AS normalized FROM evidence", "evidence")
 def _(c):
     return S.normalize_scores(B.runs(c)).select("query_id", "chunk_id", "normalized")
 

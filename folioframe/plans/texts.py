@@ -38,7 +38,7 @@ def _(c):
 cte("ident_rows", """SELECT arrival, feed, 0 AS p, 'doi' AS kind, doi_norm AS v FROM identified UNION ALL SELECT arrival, feed, 1, 'arxiv', arxiv_norm FROM identified
   UNION ALL SELECT arrival, feed, 2, 'openalex', openalex_norm FROM identified UNION ALL SELECT arrival, feed, 4, 'pmid', pmid_norm FROM identified
   UNION ALL SELECT arrival, feed, 5, 'crossref', CASE WHEN feed = 1 THEN provider_id END FROM identified UNION ALL SELECT arrival, feed, 6, 'key', identity FROM identified""", "identified")
-cte("dups", """SELECT a.arrival AS record, arg_min(b.arrival, a.p * 1000000000 + b.arrival) AS match, arg_min(a.kind, a.p * 1000000000 + b.arrival) AS kind
+cte("dups", """SELECT a.arrival AS record, arg_min(b.arrival, a.p::BIGINT * 1000000000 + b.arrival) AS match, arg_min(a.kind, a.p::BIGINT * 1000000000 + b.arrival) AS kind
   FROM ident_rows a JOIN ident_rows b ON a.feed = 1 AND b.feed = 0 AND a.kind = b.kind AND a.v = b.v GROUP BY 1""", "ident_rows")
 
 

@@ -1,6 +1,8 @@
 """Sections, sentences and chunks.
 
 A text is one row, so cutting it is done inside the row with array functions: no shuffle.
+Arrays are opened with the outer explode and nulls dropped after: for the plain one the
+optimizer adds a filter that computes the array a second and a third time.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ def _strip(c: Column) -> Column:
 
 
 def split_sentences(documents: DataFrame) -> DataFrame:
-    return documents.select("document_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_index", "sentence"))
+    return documents.select("document_id", F.posexplode_outer(X.sentences(F.col("text"))).alias("sentence_index", "sentence")).filter(
+        "sentence_index IS NOT NULL")
 
 
 def estimate_tokens(documents: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def parse_sections(documents: DataFrame) -> DataFrame:
         )
 
     rows = documents.select("document_id", lines.alias("ls")).filter(F.size("ls") > 0)
-    return rows.select("document_id", F.inline(X.let(F.col("ls"), cut)))
+    return rows.select("document_id", F.inline_outer(X.let(F.col("ls"), cut))).filter("section_index IS NOT NULL")
 
 
 def structural_heading(line: Column) -> tuple[Column, Column]:
@@ -150,7 +153,8 @@ def structural_chunks(documents: DataFrame, max_tokens: int = 500) -> DataFrame:
         return X.let(block(ls, heads, s, stop), pieces)
 
     lines = F.transform(F.split(normalize_lines(F.col("text")), "\n"), marked)
-    return documents.select("document_id", F.posexplode(X.let(lines, chunks)).alias("chunk_index", "c")).select("document_id", "chunk_index", "c.*")
+    return documents.select("document_id", F.posexplode_outer(X.let(lines, chunks)).alias("chunk_index", "c")).filter(
+        "chunk_index IS NOT NULL").select("document_id", "chunk_index", "c.*")
 
 
 def fixed_chunks(documents: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
@@ -183,7 +187,7 @@ def sentence_pack_chunks(documents: DataFrame, max_words: int = 300) -> DataFram
         return X.let(F.aggregate(counts, empty, step)["nos"], lambda nos: join(ss, nos))
 
     rows = documents.select("document_id", X.sentences(F.col("text")).alias("ss")).filter(F.size("ss") > 0)
-    packed = rows.select("document_id", F.posexplode(X.let(F.col("ss"), pack)).alias("chunk_index", "text"))
+    packed = rows.select("document_id", F.posexplode_outer(X.let(F.col("ss"), pack)).alias("chunk_index", "text")).filter("chunk_index IS NOT NULL")
     return packed.withColumn("token_count", F.size(X.words(F.col("text"))))
 
 

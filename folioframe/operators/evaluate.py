@@ -126,8 +126,8 @@ def hallucination(qa: DataFrame, evidence: DataFrame, min_overlap: float = 0.12,
     sets = claims.select("query_id", F.transform("cs", lambda c: X.term_set(c, CLAIM_STOP)).alias("ts"))
     usable = evidence.filter(F.length(X.squeeze(F.col("text"))) > 0).select("query_id", X.term_set(F.col("text"), CLAIM_STOP).alias("et"))
     scored = usable.join(sets, "query_id").select(
-        "query_id", F.posexplode(X.let(F.struct("et", "ts"), lambda s: F.transform(
-            s["ts"], lambda t: ratio(F.size(F.array_intersect(t, s["et"])), F.size(t))))).alias("claim", "overlap"))
+        "query_id", F.posexplode_outer(X.let(F.struct("et", "ts"), lambda s: F.transform(
+            s["ts"], lambda t: ratio(F.size(F.array_intersect(t, s["et"])), F.size(t))))).alias("claim", "overlap")).filter("claim IS NOT NULL")
     best = scored.groupBy("query_id", "claim").agg(F.max("overlap").alias("overlap"))
     risk = F.when(F.col("overlap") < min_overlap, 1.0 - F.col("overlap"))
     per = best.groupBy("query_id").agg(

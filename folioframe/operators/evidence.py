@@ -59,7 +59,7 @@ def extract_claims(evidence: DataFrame, per_document: int = 5, total: int = 50)
             lambda c: F.struct(d["chunk_id"].alias("chunk_id"), d["confidence"].alias("confidence"), c.alias("claim")))))
 
     per_query = cut.groupBy("query_id").agg(docs.alias("docs"))
-    return per_query.select("query_id", F.posexplode(F.aggregate("docs", empty, take)).alias("claim_index", "c")).select(
+    return per_query.select("query_id", F.posexplode_outer(F.aggregate("docs", empty, take)).alias("claim_index", "c")).filter("claim_index IS NOT NULL").select(
         "query_id", "claim_index", "c.chunk_id", "c.claim", "c.confidence")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
@@ -20,29 +20,42 @@ def doc_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(X.tokens(F.col("text"))).alias("dl"))
 
 
+def token_rows(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, dl, term``: one row per word.
+
+    The outer explode is on purpose: for a plain one the optimizer adds a filter that splits
+    every text a second and a third time.
+    """
+    return chunks.select("chunk_id", X.tokens(F.col("text")).alias("words")).select(
+        "chunk_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term")
+    ).filter("term IS NOT NULL")
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """``term, chunk_id, tf, dl``.
 
     All words of a chunk sit in one row, so the map-side combine finishes the count and
     only distinct (chunk, term) pairs are shuffled.
     """
-    exploded = chunks.select("chunk_id", X.tokens(F.col("text")).alias("words")).select(
-        "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")
-    )
-    return exploded.groupBy("chunk_id", "term").agg(
+    return token_rows(chunks).groupBy("chunk_id", "term").agg(
         F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")
     ).select("term", "chunk_id", "tf", "dl")
 
 
+def document_frequency(chunks: DataFrame) -> DataFrame:
+    """``term, df`` straight from the texts: one shuffle of per-task counts, no postings."""
+    words = chunks.select(F.explode_outer(F.array_distinct(X.tokens(F.col("text")))).alias("term")).filter("term IS NOT NULL")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def corpus_stats(stats: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length."""
     return stats.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def term_stats(posted: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """``term, df, raw_idf, idf``; a negative idf becomes ``epsilon`` times the mean of all."""
+def with_idf(df: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """Adds ``raw_idf, idf`` to ``term, df``; a negative idf becomes ``epsilon`` times the mean of all."""
     n = corpus_stats(stats).select("n_docs").scalar()
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw_idf")).scalar()
     return raw.withColumn("idf", F.when(F.col("raw_idf") < 0, epsilon * mean).otherwise(F.col("raw_idf")))
@@ -50,33 +63,26 @@ def term_stats(posted: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> Da
 
 def build_inverted_index(chunks: DataFrame) -> DataFrame:
     """One row per term: document frequency, total frequency, longest posting, idf."""
-    posted = postings(chunks)
-    totals = posted.groupBy("term").agg(F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf"))
-    return term_stats(posted, doc_stats(chunks)).join(totals, "term")
+    # counting tf > 0 keeps tf in every use of the postings, so that they are shuffled once
+    terms = postings(chunks).groupBy("term").agg(
+        F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf"))
+    return with_idf(terms, doc_stats(chunks))
 
 
 # -- vectors ----------------------------------------------------------------------------
 
 
-def _bucket(term: Column, dim: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(term), 1, 6), 16, 10).cast("long"), F.lit(dim)).cast("int")
-
-
-def _sign(term: Column) -> Column:
-    return F.when(F.pmod(F.conv(F.substring(F.md5(term), 7, 2), 16, 10).cast("long"), F.lit(2)) == 0, 1).otherwise(-1)
+def hash_weights(chunks: DataFrame, dim: int) -> DataFrame:
+    """``chunk_id, bucket, weight``: signed feature hashing of words.
 
-
-def hash_weights(posted: DataFrame, dim: int) -> DataFrame:
-    """``chunk_id, bucket, weight``: signed feature hashing of term counts."""
+    Counts per chunk are finished before the shuffle, which carries at most ``dim`` rows each.
+    """
+    digest = F.md5("term")
+    place = F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    sign = F.when(F.pmod(F.conv(F.substring(digest, 7, 2), 16, 10).cast("long"), F.lit(2)) == 0, 1).otherwise(-1)
     return (
-        posted.select(
-            "chunk_id",
-            _bucket(F.col("term"), dim).alias("bucket"),
-            (F.col("tf") * _sign(F.col("term"))).alias("w"),
-        )
-        .groupBy("chunk_id", "bucket")
-        .agg(F.sum("w").alias("weight"))
-        .filter("weight <> 0")
+        token_rows(chunks).select("chunk_id", place.alias("bucket"), sign.alias("w"))
+        .groupBy("chunk_id", "bucket").agg(F.sum("w").alias("weight")).filter("weight <> 0")
     )
 
 
@@ -85,7 +91,7 @@ def embed_chunks(chunks: DataFrame, dim: int = 384) -> DataFrame:
 
     A vector never holds more than ``dim`` entries, so collecting them is bounded.
     """
-    weights = hash_weights(postings(chunks), dim)
+    weights = hash_weights(chunks, dim)
     packed = weights.groupBy("chunk_id").agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),

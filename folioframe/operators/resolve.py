@@ -51,7 +51,7 @@ def identifiers(records: DataFrame, id_col: str) -> DataFrame:
         F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(k).alias("kind"), values[k].alias("value")) for i, k in enumerate(ID_ORDER)]),
         lambda s: s["value"].isNotNull(),
     )
-    return records.select(F.col(id_col).alias("record"), F.inline(rows))
+    return records.select(F.col(id_col).alias("record"), F.inline_outer(rows)).filter("value IS NOT NULL")
 
 
 def find_duplicates(incoming: DataFrame, store: DataFrame, id_col: str = "arrival") -> DataFrame:
@@ -206,47 +206,52 @@ def jaccard_pairs(sets: DataFrame, threshold: float, group: list[str], rank: str
         *group, "a", "b", r6(F.col("similarity")).alias("similarity"))
 
 
-def dedup_near_text(rows: DataFrame, threshold: float = 0.9, id_col: str = "chunk_id", max_rounds: int = 12) -> DataFrame:
+# pairs are listed once there are at most this many per open (row, token) entry
+PAIRS_PER_ENTRY = 8
+
+
+def _pairs_are_few(open_: DataFrame) -> bool:
+    """Whether the pairs that share a rare token are linear in the number of entries."""
+    per = open_.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    row = per.agg(F.sum("c").alias("entries"), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("pairs")).first()
+    return (row["pairs"] or 0) <= PAIRS_PER_ENTRY * (row["entries"] or 0)
+
+
+def dedup_near_text(rows: DataFrame, threshold: float = 0.9, id_col: str = "chunk_id") -> DataFrame:
     """``chunk_id, kept_id``: every row with the row that stands for it (itself when kept).
 
     Rows are taken by score, then id; a row is dropped when it is at least ``threshold`` similar
-    to a kept one. Equal token sets are folded first. Then, in rounds, each shared rare token
-    elects its best open row: a row that leads all its tokens is certainly kept, and the rows
-    behind it are compared with it alone. A group of very many near copies thus costs one
-    comparison per row and token, never all pairs. Whatever is still open after ``max_rounds``
-    is settled on the exact pair graph.
+    to a kept one. Equal token sets are folded first. While too many rows share their rare
+    tokens, each such token elects its best open row: a row that leads all its tokens is
+    certainly kept, and the rows behind it are compared with it alone. A group of very many
+    near copies thus costs one comparison per row and token, never all pairs. Once the pairs
+    left are few, they are listed and settled in order. Every round decides at least the best
+    open row, so no limit on rounds is needed, and the result is the same either way.
     """
-    base = rows.select(F.struct((-F.col("score")).alias("s"), F.col(id_col).alias("i")).alias("ord"), token_set(F.col("text")).alias("tokens"))
-    signed = base.withColumn("sig", F.sha2(F.array_join("tokens", " "), 256))
-    members = cut_lineage(signed.select("sig", "ord"))
-    heads = signed.groupBy("sig").agg(F.min("ord").alias("ord"), F.min_by("tokens", "ord").alias("tokens"))
-    heads = heads.select("sig", "ord", "tokens")
+    base = rows.select(F.struct((-F.col("score")).alias("s"), F.col(id_col).alias("i")).alias("ord"), F.col(id_col).alias("id"), "text")
+    members = cut_lineage(base.select(F.sha2(F.array_join(token_set(F.col("text")), " "), 256).alias("sig"), "ord"))
+    heads = members.groupBy("sig").agg(F.min("ord").alias("ord")).join(
+        base.select("id", "text"), F.col("ord.i") == F.col("id")).select("sig", "ord", token_set(F.col("text")).alias("tokens"))
     sets = cut_lineage(rare_first(heads, ["sig", "ord"]).unionByName(
         heads.filter(F.size("tokens") == 0).withColumn("n", F.lit(0))))
     open_ = cut_lineage(sets.filter("n > 0").select("sig", "ord", "n", F.explode(F.slice("tokens", 1, _prefix_length(F.col("n"), threshold))).alias("token")))
     body = sets.select("sig", "tokens")
-    kept = sets.filter("n = 0").select("sig", F.col("sig").alias("kept"))
-    decided = [kept]
+    decided = [sets.filter("n = 0").select("sig", F.col("sig").alias("kept"))]
 
     def verify(pairs: DataFrame) -> DataFrame:
         full = pairs.join(body.withColumnRenamed("tokens", "t1"), "sig").join(
             body.select(F.col("sig").alias("lead"), F.col("tokens").alias("t2")), "lead")
         return full.filter(_jaccard("t1", "t2") >= threshold - 1e-9).select("sig", "lead", "lead_ord")
 
-    for _ in range(max_rounds):
+    while not _pairs_are_few(open_):
         lead = open_.groupBy("token").agg(F.min(F.struct("ord", "sig")).alias("l"))
         seen = open_.join(lead, "token").select("sig", "n", F.col("l.sig").alias("lead"), F.col("l.ord").alias("lead_ord"))
         clear = cut_lineage(seen.groupBy("sig").agg(F.min(F.col("lead") == F.col("sig")).alias("all_led")).filter("all_led").select("sig"))
         behind = seen.filter("lead <> sig").join(clear.select(F.col("sig").alias("lead")), "lead", "left_semi").select("sig", "lead", "lead_ord").distinct()
         dropped = cut_lineage(verify(behind).groupBy("sig").agg(F.min_by("lead", "lead_ord").alias("kept")))
         decided += [clear.select("sig", F.col("sig").alias("kept")), dropped]
-        rest = cut_lineage(open_.join(clear.unionByName(dropped.select("sig")), "sig", "left_anti"))
-        if rest.isEmpty():
-            open_ = None
-            break
-        open_ = rest
-    if open_ is not None:
-        decided.append(_settle_pairs(open_.select("sig").distinct(), sets, threshold))
+        open_ = cut_lineage(open_.join(clear.unionByName(dropped.select("sig")), "sig", "left_anti"))
+    decided.append(_settle_pairs(open_.select("sig").distinct(), sets, threshold))
     fate = decided[0]
     for more in decided[1:]:
         fate = fate.unionByName(more)
@@ -259,18 +264,19 @@ def _settle_pairs(open_sigs: DataFrame, sets: DataFrame, threshold: float) -> Da
     left = sets.join(open_sigs, "sig", "left_semi").withColumnRenamed("sig", "id")
     pairs = cut_lineage(jaccard_pairs(left, threshold, [], "ord").select("a", "b"))
     order = left.select(F.col("id").alias("a"), F.col("ord").alias("a_ord"))
-    open_ = cut_lineage(left.select(F.col("id").alias("sig")))
-    done = None
+    # rows in no pair are kept at once; the loop runs over the rest only
+    paired = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    done = left.select(F.col("id").alias("sig"), F.col("id").alias("kept")).join(paired, "sig", "left_anti")
+    open_ = cut_lineage(paired)
     while not open_.isEmpty():
         blocked = pairs.join(open_.select(F.col("sig").alias("a")), "a", "left_semi").join(
             open_.select(F.col("sig").alias("b")), "b", "left_semi")
-        free = open_.join(blocked.select(F.col("b").alias("sig")).distinct(), "sig", "left_anti")
-        free = cut_lineage(free)
+        free = cut_lineage(open_.join(blocked.select(F.col("b").alias("sig")).distinct(), "sig", "left_anti"))
         drop = cut_lineage(
             pairs.join(free.select(F.col("sig").alias("a")), "a", "left_semi").join(open_.select(F.col("sig").alias("b")), "b", "left_semi")
             .join(order, "a").groupBy(F.col("b").alias("sig")).agg(F.min_by("a", "a_ord").alias("kept")))
         step = free.select("sig", F.col("sig").alias("kept")).unionByName(drop)
-        done = step if done is None else done.unionByName(step)
+        done = done.unionByName(step)
         open_ = cut_lineage(open_.join(step.select("sig"), "sig", "left_anti"))
     return done
 

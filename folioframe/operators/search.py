@@ -35,16 +35,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def bm25_scores(queries: DataFrame, posted: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75,
-                epsilon: float = 0.25) -> DataFrame:
+def bm25_scores(terms: DataFrame, posted: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Score of every (query, chunk) that share a term.
 
-    Query terms are the small side; Spark broadcasts them while they fit its threshold and
-    falls back to a shuffle join on the term beyond it, where AQE splits hot terms.
+    ``terms``: ``query_id, term, qtf, idf``; ``posted``: stored or fresh postings. Spark
+    broadcasts the query terms while they fit its threshold and falls back to a shuffle join
+    on the term beyond it, where AQE splits hot terms.
     """
-    terms = query_terms(queries).join(
-        I.term_stats(posted, stats, epsilon).select("term", "idf"), "term"
-    )
     avgdl = I.corpus_stats(stats).select("avgdl").scalar()
     part = F.col("qtf") * F.col("idf") * (
         F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -56,14 +53,36 @@ def bm25_scores(queries: DataFrame, posted: DataFrame, stats: DataFrame, k1: flo
     )
 
 
+def bm25_over_texts(queries: DataFrame, chunks: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """BM25 scores without a stored index.
+
+    Words that no query asks for are dropped before anything is counted per chunk; only their
+    document frequency is needed, for the mean idf.
+    """
+    stats = I.doc_stats(chunks)
+    asked = query_terms(queries)
+    known = I.with_idf(I.document_frequency(chunks), stats, epsilon).select("term", "idf")
+    wanted = asked.select("term").distinct()
+    posted = I.token_rows(chunks).join(wanted, "term").groupBy("chunk_id", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return bm25_scores(asked.join(known, "term"), posted, stats)
+
+
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, wanted: dict[str, object] | None = None) -> DataFrame:
     """Okapi BM25 top-k; ``wanted`` restricts the candidates before the cut."""
-    scored = bm25_scores(queries, I.postings(chunks), I.doc_stats(chunks))
+    scored = bm25_over_texts(queries, chunks)
     if wanted:
         scored = scored.join(I.metadata_filter(chunks, wanted).select("chunk_id"), "chunk_id", "left_semi")
     return top_k(scored, "query_id", k, *best()).select("query_id", "chunk_id", "score", "rank")
 
 
+def search_index(queries: DataFrame, posted: DataFrame, stats: DataFrame, k: int = 10, epsilon: float = 0.25) -> DataFrame:
+    """The same over stored ``postings`` and ``doc_stats`` tables."""
+    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = query_terms(queries).join(I.with_idf(df, stats, epsilon).select("term", "idf"), "term")
+    return top_k(bm25_scores(terms, posted, stats), "query_id", k, *best()).select("query_id", "chunk_id", "score", "rank")
+
+
 # -- dense ------------------------------------------------------------------------------
 
 MAX_BROADCAST_QUERIES = 8192
@@ -379,7 +398,7 @@ def federated_search(sources: dict[str, DataFrame], queries: DataFrame, k: int =
 
 def federated_by_column(queries: DataFrame, chunks: DataFrame, source: str, k: int = 10) -> DataFrame:
     """As ``federated_search`` with the source in a column: one top-k per query and source."""
-    scored = bm25_scores(queries, I.postings(chunks), I.doc_stats(chunks))
+    scored = bm25_over_texts(queries, chunks)
     tagged = scored.join(chunks.select("chunk_id", source), "chunk_id")
     return top_k(tagged, ["query_id", source], k, *best())
 

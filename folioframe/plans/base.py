@@ -54,14 +54,12 @@ def relevant(c: Corpus) -> DataFrame:
         return F.concat(F.lit(" "), F.array_join(X.tokens(text), " "), F.lit(" "))
 
     terms = c.queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    posted = I.postings(c.chunks).select("term", "chunk_id")
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = (
-        terms.join(df, "term", "left")
+        terms.join(I.document_frequency(c.chunks), "term", "left")
         .groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("m"))
         .select("query_id", F.col("m.term").alias("term"))
     )
-    near = posted.join(rarest, "term").select("query_id", "chunk_id")
+    near = I.token_rows(c.chunks).join(rarest, "term").select("query_id", "chunk_id").distinct()
     return (
         near.join(c.queries.select("query_id", padded(F.col("text")).alias("passage")), "query_id")
         .join(c.chunks.select("chunk_id", padded(F.col("text")).alias("body")), "chunk_id")

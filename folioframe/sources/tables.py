@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as X
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by ``key`` when the files give fewer tasks than there are cores.
+
+    A table of many files or row groups is read as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Corpus:
     """Lazy views of one data folder. Nothing is read before an action needs it."""
 
@@ -23,7 +32,7 @@ class Corpus:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents").withColumnRenamed("doc_id", "document_id")
+        return spread(self.table("documents"), "doc_id").withColumnRenamed("doc_id", "document_id")
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -122,7 +131,7 @@ class Corpus:
         """Two provider feeds describing the same orders under differently written ids."""
         k = F.col("o_orderkey")
         key = k.cast("string")
-        both = self.table("orders").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("feed"))
+        both = spread(self.table("orders"), "o_orderkey").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("feed"))
         first = F.col("feed") == 0
         number = F.lpad((k % 100000).cast("string"), 5, "0")
         return both.select(

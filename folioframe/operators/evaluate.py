@@ -28,15 +28,17 @@ def judged(runs: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return best.join(qrels.distinct().withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left").fillna(0, ["hit"])
 
 
-def query_metrics(runs: DataFrame, queries: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
-    """Precision, recall, reciprocal rank and nDCG of every (run, query)."""
+def query_metrics(runs: DataFrame, queries: DataFrame, qrels: DataFrame, names: list[str], k: int = 10) -> DataFrame:
+    """Precision, recall, reciprocal rank and nDCG of every query in each of the runs ``names``.
+
+    A query a run returned nothing for counts with zeros.
+    """
     rel = qrels.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
     gain = 1.0 / F.log2(F.col("rank") + 1.0)
     got = judged(runs, qrels, k).groupBy("run", "query_id").agg(
         F.count(F.lit(1)).alias("retrieved"), F.sum("hit").alias("hits"),
         F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.col("hit") * gain).alias("dcg"))
-    names = runs.select("run").distinct().withColumn("one", F.lit(1))
-    wanted = queries.select("query_id").distinct().withColumn("one", F.lit(1)).join(names, "one").drop("one")
+    wanted = queries.select("query_id").distinct().withColumn("run", F.explode(F.array(*[F.lit(n) for n in names])))
     full = wanted.join(got, ["run", "query_id"], "left").join(rel, "query_id", "left").fillna(0, ["retrieved", "hits", "relevant"]).fillna(0.0, ["dcg"])
     best = F.least(F.col("relevant"), F.lit(k))
     ideal = F.aggregate(F.filter(F.sequence(F.lit(1), F.lit(k)), lambda i: i <= best), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))

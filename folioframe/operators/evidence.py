@@ -321,21 +321,22 @@ def evidence_chain(claims: DataFrame, sources: DataFrame) -> DataFrame:
     return claims.join(sources, "source_id", "left")
 
 
-def group_findings(items: DataFrame, topics: tuple[str, ...], default: str = "Findings") -> DataFrame:
-    """Claims of each topic joined in order, with their ids.
+def group_findings(items: DataFrame, topics: tuple[str, ...], report: str = "query_id", default: str = "Findings") -> DataFrame:
+    """Sections of every report: the claims of a topic joined in order, with their ids.
 
-    ``items``: ``position, id, claim`` and topic columns, of which the first non-blank counts.
-    Repeated ids are dropped; without an id, repeated claims.
+    ``items``: ``report, position, id, claim`` and topic columns, of which the first non-blank
+    counts. Repeated ids are dropped; without an id, repeated claims. A report holds no more
+    than the capped claims of one query, so a section is bounded.
     """
     blank = F.length(F.trim(F.coalesce("claim", F.lit("")))) == 0
     key = F.coalesce(F.concat(F.lit("id:"), F.nullif(F.trim(F.col("id").cast("string")), F.lit(""))), F.concat(F.lit("claim:"), X.squeeze(F.lower("claim"))))
     topic = F.coalesce(*[F.nullif(F.trim(F.col(n)), F.lit("")) for n in topics], F.lit(default))
     first = items.filter(~blank).select(
-        key.alias("key"), F.struct("position", F.col("id").cast("string").alias("id"), F.trim("claim").alias("claim"), topic.alias("topic")).alias("r")
-    ).groupBy("key").agg(F.min_by("r", "r.position").alias("r")).select("r.*")
+        report, key.alias("key"), F.struct("position", F.col("id").cast("string").alias("id"), F.trim("claim").alias("claim"), topic.alias("topic")).alias("r")
+    ).groupBy(report, "key").agg(F.min_by("r", "r.position").alias("r")).select(report, "r.*")
     listed = F.array_sort(F.collect_list(F.struct("position", "id", "claim")))
-    return first.groupBy("topic").agg(listed.alias("xs")).select(
-        "topic", F.size("xs").alias("statements"), F.array_join("xs.claim", " ").alias("content"), F.array_join("xs.id", ",").alias("evidence_ids"))
+    return first.groupBy(report, "topic").agg(listed.alias("xs")).select(
+        report, "topic", F.size("xs").alias("statements"), F.array_join("xs.claim", " ").alias("content"), F.array_join("xs.id", ",").alias("evidence_ids"))
 
 
 def comparison_table(claims: DataFrame) -> DataFrame:

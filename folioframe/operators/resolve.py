@@ -168,7 +168,7 @@ def _prefix_length(n: Column, t: float) -> Column:
 
 def rare_first(sets: DataFrame, keys: list[str]) -> DataFrame:
     """Token sets with tokens ordered from rare to common over all sets."""
-    flat = sets.select(*keys, F.explode("tokens").alias("token"))
+    flat = sets.select(*keys, F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
     df = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = flat.join(df, "token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     return ordered.select(*keys, F.col("o.token").alias("tokens"), F.size("o").alias("n"))
@@ -228,10 +228,11 @@ def dedup_near_text(rows: DataFrame, threshold: float = 0.9, id_col: str = "chun
     left are few, they are listed and settled in order. Every round decides at least the best
     open row, so no limit on rounds is needed, and the result is the same either way.
     """
-    base = rows.select(F.struct((-F.col("score")).alias("s"), F.col(id_col).alias("i")).alias("ord"), F.col(id_col).alias("id"), "text")
-    members = cut_lineage(base.select(F.sha2(F.array_join(token_set(F.col("text")), " "), 256).alias("sig"), "ord"))
-    heads = members.groupBy("sig").agg(F.min("ord").alias("ord")).join(
-        base.select("id", "text"), F.col("ord.i") == F.col("id")).select("sig", "ord", token_set(F.col("text")).alias("tokens"))
+    signed = cut_lineage(rows.select(
+        F.struct((-F.col("score")).alias("s"), F.col(id_col).alias("i")).alias("ord"), token_set(F.col("text")).alias("tokens")
+    ).withColumn("sig", F.sha2(F.array_join("tokens", " "), 256)))
+    members = signed.select("sig", "ord")
+    heads = signed.join(members.groupBy("sig").agg(F.min("ord").alias("ord")), ["sig", "ord"])
     sets = cut_lineage(rare_first(heads, ["sig", "ord"]).unionByName(
         heads.filter(F.size("tokens") == 0).withColumn("n", F.lit(0))))
     open_ = cut_lineage(sets.filter("n > 0").select("sig", "ord", "n", F.explode(F.slice("tokens", 1, _prefix_length(F.col("n"), threshold))).alias("token")))

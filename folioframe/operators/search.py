@@ -17,6 +17,7 @@ from folioframe.functions import text as X
 from folioframe.functions.lexicon import QUERY_STOP
 from folioframe.functions.scores import clamp01, r6, top_k
 from folioframe.operators import index as I
+from folioframe.session import cut_lineage
 
 def best() -> tuple[Column, Column]:
     """Ranking of runs: score descending, then id."""
@@ -149,8 +150,8 @@ def dense_search(queries: DataFrame, corpus: DataFrame, k: int = 10, dim: int =
     )
 
 
-def dense_search_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, dim: int = 384, tables: int = 12,
-                     planes: int = 8, seed: int = 17) -> DataFrame:
+def dense_search_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, dim: int = 384, tables: int = 32,
+                     planes: int = 6, seed: int = 17) -> DataFrame:
     """Approximate top-k by random-hyperplane signatures, exact scores on the candidates.
 
     Query and chunk meet on (table, signature); every candidate found is scored.
@@ -278,10 +279,10 @@ def lexical_rerank(candidates: DataFrame, k: int | None = None) -> DataFrame:
         X.squeeze(F.lower("text")).alias("d"),
         X.squeeze(F.lower(F.coalesce("meta_text", F.lit("")))).alias("m"),
     )
-    q_terms = base.select(*keys, F.explode(_content_terms(F.col("q"))).alias("term")).groupBy(*keys, "term").agg(
+    q_terms = base.select(*keys, F.explode_outer(_content_terms(F.col("q"))).alias("term")).filter("term IS NOT NULL").groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("qf")
     )
-    d_terms = base.select(*keys, F.explode(_content_terms(F.col("d"))).alias("term")).groupBy(*keys, "term").agg(
+    d_terms = base.select(*keys, F.explode_outer(_content_terms(F.col("d"))).alias("term")).filter("term IS NOT NULL").groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("df")
     )
     gain = F.least(F.lit(1.0), F.col("qf") * F.least(F.lit(1.0), F.log1p("df") / F.log(F.lit(2.0))))
@@ -369,12 +370,16 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, fetch_k: i
     """
     fetch_k = fetch_k or 2 * k
     pool = I.metadata_filter(chunks, wanted) if wanted else chunks
-    sparse = bm25_search(queries, chunks, fetch_k, wanted)
     q_vec = I.embed_chunks(queries.withColumnRenamed("query_id", "chunk_id"), dim).select(
         F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")
     )
     c_vec = I.embed_chunks(pool, dim).withColumnRenamed("embedding", "vector")
-    dense = dense_search(q_vec, c_vec, fetch_k, dim)
+    # the legs are small, fetch_k rows per query, and used three times: written once
+    legs = cut_lineage(
+        bm25_search(queries, chunks, fetch_k, wanted).withColumn("leg", F.lit("sparse"))
+        .unionByName(dense_search(q_vec, c_vec, fetch_k, dim).withColumn("leg", F.lit("dense")))
+    )
+    sparse, dense = legs.filter("leg = 'sparse'").drop("leg"), legs.filter("leg = 'dense'").drop("leg")
     fused = rrf_fuse([sparse, dense]).select("query_id", "chunk_id", "score")
     named = fused.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     full = named.join(chunks.select("chunk_id", "text", F.lit("").alias("meta_text")), "chunk_id")

@@ -33,7 +33,7 @@ def _metrics(c):
     q, d = _hash_vectors(c)
     dense = S.dense_search(q, d, 10, 64).select(F.lit("dense").alias("run"), "query_id", "chunk_id", "rank")
     both = B.runs(c).select(F.lit("sparse").alias("run"), "query_id", "chunk_id", "rank").unionByName(dense)
-    return M.query_metrics(both, c.queries, B.relevant(c), 10)
+    return M.query_metrics(both, c.queries, B.relevant(c), ["sparse", "dense"], 10)
 
 
 for _name in ("recall", "precision", "mrr", "ndcg"):
@@ -57,7 +57,7 @@ def _(c):
 @query("context_precision_recall", "SELECT query_id, precision AS context_precision, recall AS context_recall FROM metrics WHERE run = 'sparse'", "metrics")
 def _(c):
     one = B.runs(c).select(F.lit("contexts").alias("run"), "query_id", "chunk_id", "rank")
-    return M.query_metrics(one, c.queries, B.relevant(c), 10).select("query_id", F.col("precision").alias("context_precision"), F.col("recall").alias("context_recall"))
+    return M.query_metrics(one, c.queries, B.relevant(c), ["contexts"], 10).select("query_id", F.col("precision").alias("context_precision"), F.col("recall").alias("context_recall"))
 
 
 # -- answers ----------------------------------------------------------------------------

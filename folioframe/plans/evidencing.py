@@ -411,16 +411,16 @@ def _(c):
 
 
 @query("group_findings", """
-SELECT topic, count(*)::INT AS statements, string_agg(claim, ' ' ORDER BY position) AS content, string_agg(id, ',' ORDER BY position) AS evidence_ids FROM (
+SELECT query_id, topic, count(*)::INT AS statements, string_agg(claim, ' ' ORDER BY position) AS content, string_agg(id, ',' ORDER BY position) AS evidence_ids FROM (
   SELECT *, coalesce(nullif(trim(topic_a), ''), nullif(trim(topic_b), ''), 'Findings') AS topic, coalesce('id:' || id, 'claim:' || lower(claim)) AS key FROM (
-    SELECT query_id * 100 + claim_index AS position, CASE WHEN claim_index % 4 <> 0 THEN 'c' || chunk_id || '-' || (claim_index % 3) END AS id, claim, CASE WHEN query_id % 3 = 0 THEN ' ' WHEN query_id % 3 = 1 THEN lang END AS topic_a,
+    SELECT query_id, query_id * 100 + claim_index AS position, CASE WHEN claim_index % 4 <> 0 THEN 'c' || chunk_id || '-' || (claim_index % 3) END AS id, claim, CASE WHEN query_id % 3 = 0 THEN ' ' WHEN query_id % 3 = 1 THEN lang END AS topic_a,
       CASE WHEN chunk_id % 2 = 0 THEN source END AS topic_b FROM claims JOIN documents ON doc_id = chunk_id)
-  QUALIFY row_number() OVER (PARTITION BY key ORDER BY position) = 1) GROUP BY 1""", "claims")
+  QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY position) = 1) GROUP BY 1, 2""", "claims")
 def _(c):
     j = claims(c).join(c.chunks.select("chunk_id", "lang", "source"), "chunk_id")
     i, q = F.col("claim_index"), F.col("query_id")
     items = j.select(
-        (q * 100 + i).alias("position"), F.when(i % 4 != 0, F.concat(F.lit("c"), F.col("chunk_id").cast("string"), F.lit("-"), (i % 3).cast("string"))).alias("id"), "claim",
+        "query_id", (q * 100 + i).alias("position"), F.when(i % 4 != 0, F.concat(F.lit("c"), F.col("chunk_id").cast("string"), F.lit("-"), (i % 3).cast("string"))).alias("id"), "claim",
         F.when(q % 3 == 0, " ").when(q % 3 == 1, F.col("lang")).alias("topic_a"), F.when(F.col("chunk_id") % 2 == 0, F.col("source")).alias("topic_b"))
     return V.group_findings(items, ("topic_a", "topic_b"))
 

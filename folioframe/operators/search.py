@@ -359,6 +359,16 @@ def model_rerank(candidates: DataFrame, factory: Callable[[], Callable[[list[str
     return top_k(scored, "query_id", k, *best())
 
 
+def spread_ids(run: DataFrame) -> DataFrame:
+    """Rows of a run dealt over all shuffle partitions, before texts are joined to them.
+
+    Ids are few bytes, so the engine would pack them into one task, but reading and scoring
+    the texts behind them is heavy.
+    """
+    parts = int(run.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return run.repartition(parts, "query_id", "chunk_id")
+
+
 # -- composed search --------------------------------------------------------------------
 
 
@@ -381,7 +391,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 10, fetch_k: i
     )
     sparse, dense = legs.filter("leg = 'sparse'").drop("leg"), legs.filter("leg = 'dense'").drop("leg")
     fused = rrf_fuse([sparse, dense]).select("query_id", "chunk_id", "score")
-    named = fused.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+    named = spread_ids(fused).join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     full = named.join(chunks.select("chunk_id", "text", F.lit("").alias("meta_text")), "chunk_id")
     reranked = lexical_rerank(full, k)
     keys = ["query_id", "chunk_id"]

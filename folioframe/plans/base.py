@@ -21,7 +21,7 @@ def runs(c: Corpus) -> DataFrame:
 def evidence(c: Corpus) -> DataFrame:
     """The run with texts: at most ten rows per query."""
     judged = runs(c).withColumn("relevance", S.scaled(F.col("score"), "minmax", ["query_id"]))
-    return judged.join(c.chunks.select("chunk_id", "text", "lang", "source"), "chunk_id")
+    return S.spread_ids(judged).join(c.chunks.select("chunk_id", "text", "lang", "source"), "chunk_id")
 
 
 def qa(c: Corpus) -> DataFrame:

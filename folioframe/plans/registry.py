@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioframe.session import ship_package
 from folioframe.sources.tables import Corpus
 
 QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {}
@@ -61,7 +62,11 @@ def corpus(spark: SparkSession, root: str) -> Corpus:
 
 
 def runner(fn: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: fn(corpus(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(corpus(spark, sf_dir))
+
+    return run
 
 
 def forget() -> None:

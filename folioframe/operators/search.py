@@ -363,10 +363,11 @@ def spread_ids(run: DataFrame) -> DataFrame:
     """Rows of a run dealt over all shuffle partitions, before texts are joined to them.
 
     Ids are few bytes, so the engine would pack them into one task, but reading and scoring
-    the texts behind them is heavy.
+    the texts behind them is heavy. The key is a hash of the ids: a repartition by the very
+    columns the rows are grouped by already would be dropped as redundant, and coalesced.
     """
     parts = int(run.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return run.repartition(parts, "query_id", "chunk_id")
+    return run.repartition(parts, F.xxhash64("query_id", "chunk_id"))
 
 
 # -- composed search --------------------------------------------------------------------

@@ -60,6 +60,14 @@ def _(c):
     return M.query_metrics(one, c.queries, B.relevant(c), ["contexts"], 10).select("query_id", F.col("precision").alias("context_precision"), F.col("recall").alias("context_recall"))
 
 
+for _name in ("precision", "recall"):
+    @query(f"context_{_name}", f"SELECT query_id, {_name} AS context_{_name} FROM metrics WHERE run = 'sparse'", "metrics")
+    def _(c, name=_name):
+        one = B.runs(c).select(F.lit("contexts").alias("run"), "query_id", "chunk_id", "rank")
+        made = M.query_metrics(one, c.queries, B.relevant(c), ["contexts"], 10)
+        return made.select("query_id", F.col(name).alias(f"context_{name}"))
+
+
 # -- answers ----------------------------------------------------------------------------
 
 cte("contexts", "SELECT query_id, string_agg(lower(text), ' ' ORDER BY rank) AS ctx FROM evidence GROUP BY 1", "evidence")

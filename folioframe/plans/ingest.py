@@ -227,6 +227,21 @@ def _(c):
     return L.paper_documents(c.papers.select("paper_id"), docs, c.labels.select("document_id"))
 
 
+@query("write_corpus", """
+SELECT doc_id AS chunk_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'seen ' || lang ELSE lang END AS lang, n_chars FROM documents""")
+def _(c):
+    import uuid
+
+    from folioframe.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(c.spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    rows = c.documents.select(F.col("document_id").alias("chunk_id"), "lang", "n_chars")
+    files.write_corpus(rows, path, "chunk_id", 16)
+    labelled = rows.join(c.labels.select(F.col("document_id").alias("chunk_id")), "chunk_id", "left_semi")
+    files.upsert_corpus(labelled.withColumn("lang", F.concat(F.lit("seen "), "lang")), path, "chunk_id", 16)
+    return c.spark.read.parquet(path).drop("bucket")
+
+
 # -- cleaning ---------------------------------------------------------------------------
 
 

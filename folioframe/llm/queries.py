@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import langid
+from folioframe.llm import langid, simhash
 from folioframe.llm.common import held_out, table
 
 
@@ -15,5 +15,9 @@ def op7_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op7_language_id,)}
+def op3_simhash_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, root, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op7_language_id)}
 SQL: dict[str, str] = {}

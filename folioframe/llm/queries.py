@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import langid, simhash
+from folioframe.llm import langid, simhash, winnow
 from folioframe.llm.common import held_out, table
 
 
@@ -19,5 +19,27 @@ def op3_simhash_dedup(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, root, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op7_language_id)}
-SQL: dict[str, str] = {}
+def op8_winnowing(spark: SparkSession, root: str) -> DataFrame:
+    return winnow.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op7_language_id, op8_winnowing)}
+SQL: dict[str, str] = {
+    "op8_winnowing": r"""
+WITH said AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS row FROM documents),
+asked AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS passage
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM asked WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM item),
+cut AS (SELECT row, n, i, array_to_string(w[i:i + n - 1], ' ') AS passage
+  FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM said, lengths WHERE len(w) >= n)),
+hit AS (SELECT row, i, n, item_id FROM cut JOIN item USING (n, passage)),
+words AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS p FROM hit) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM hit) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM said LEFT JOIN words USING (row) LEFT JOIN items USING (row)""",
+}

@@ -19,6 +19,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 UNKNOWN = "und"
 REMEMBERED = 100_000
+PLACES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -89,22 +90,21 @@ def frequencies(rows: pd.DataFrame, langs: list[str], by_length: bool) -> tuple[
 def train(docs: DataFrame, per_language: int = 2_000, vocabulary: int = 50_000) -> Model:
     """A model from ``docs(doc_id, text, lang)``; rows without a language are left out.
 
-    Fitted on a bounded sample of labelled rows: of each language the ``per_language``
-    documents whose ids come first by hash (all documents that share the last hash are in).
-    The model holds at most ``vocabulary`` words and as many n-grams of each language, which
+    Fitted on a bounded sample of labelled rows: of each language about ``per_language``
+    documents, chosen by the hash of their ids (all, if there are no more). The model holds at most ``vocabulary`` words and as many n-grams of each language, which
     bounds what reaches the driver and the workers. Priors count all labelled rows. An empty
     table gives a model without languages.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    labelled = docs.filter(F.col("lang").isNotNull()).select(
-        "text", "lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    ranked = labelled.select("lang", "h").withColumn("at", F.row_number().over(first))
-    cut = ranked.filter(F.col("at") <= per_language).groupBy("lang").agg(F.max("h").alias("cut"))
+    labelled = docs.filter(F.col("lang").isNotNull())
     prior = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(prior)
-    sample = labelled.join(F.broadcast(cut), "lang").filter(F.col("h") <= F.col("cut")).select("lang", "text")
+    share = F.lit(0.0)
+    for lang in langs:
+        share = F.when(F.col("lang") == lang, min(1.0, per_language / prior[lang])).otherwise(share)
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(PLACES)) / PLACES
+    sample = labelled.filter(place < share).select("lang", "text")
     schema = "lang string, gram string, n long"
     words = stored(sample.mapInPandas(counted, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-words")
     grams = words.mapInPandas(gram_counts, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import langid, simhash, winnow
+from folioframe.llm import langid, private_spans, simhash, winnow
 from folioframe.llm.common import held_out, table
 
 
+def op5_private_spans(spark: SparkSession, root: str) -> DataFrame:
+    return private_spans.find(table(spark, root, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4).alias("held_out"))
     model = langid.train(docs.filter("NOT held_out"))
@@ -23,7 +27,7 @@ def op8_winnowing(spark: SparkSession, root: str) -> DataFrame:
     return winnow.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op7_language_id, op8_winnowing)}
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op5_private_spans, op7_language_id, op8_winnowing)}
 SQL: dict[str, str] = {
     "op8_winnowing": r"""
 WITH said AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import langid, private_spans, simhash, winnow
+from folioframe.llm import langid, private_spans, simhash, token_frames, winnow
 from folioframe.llm.common import held_out, table
 
 
@@ -19,6 +19,17 @@ def op7_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_frames(spark: SparkSession, root: str) -> DataFrame:
+    read = token_frames.token_frames(table(spark, root, "documents"), tokenizer_file())
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op3_simhash_dedup(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, root, "documents").select("doc_id", "text"))
 
@@ -27,7 +38,7 @@ def op8_winnowing(spark: SparkSession, root: str) -> DataFrame:
     return winnow.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op5_private_spans, op7_language_id, op8_winnowing)}
+QUERIES = {f.__name__: f for f in (op2_token_frames, op3_simhash_dedup, op5_private_spans, op7_language_id, op8_winnowing)}
 SQL: dict[str, str] = {
     "op8_winnowing": r"""
 WITH said AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -172,5 +172,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([predictor.of(t) for t in texts], columns=["lang_pred", "score"])
 
-    told = docs.withColumn("_language", language("text"))
-    return told.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    told = docs.withColumn("_llm_language", language("text"))
+    return told.withColumns({"lang_pred": F.col("_llm_language.lang_pred"), "score": F.col("_llm_language.score")}).drop("_llm_language")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import langid, private_spans, simhash, token_frames, winnow
+from folioframe.llm import langid, mixture, private_spans, simhash, token_frames, url_filter, winnow
 from folioframe.llm.common import held_out, table
 
 
+def op4_poisson_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return mixture.mix(table(spark, root, "documents"))
+
+
 def op5_private_spans(spark: SparkSession, root: str) -> DataFrame:
     return private_spans.find(table(spark, root, "documents").select("doc_id", "text"))
 
@@ -38,8 +42,54 @@ def op8_winnowing(spark: SparkSession, root: str) -> DataFrame:
     return winnow.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_frames, op3_simhash_dedup, op5_private_spans, op7_language_id, op8_winnowing)}
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+#: Pages on hosts that carry such a word in a hyphenated name make up the list of URLs.
+LISTED_HOSTS = r"(?:ads|casino|spam|adult|pills|bets)"
+
+
+def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "pages").select("page_id", "url")
+    url = F.col("url")
+    host = url_filter.host_of(url)
+    listed = pages.filter(host.rlike(rf"(^|[.-]){LISTED_HOSTS}-|-{LISTED_HOSTS}[.]")).select(url_filter.canonical(url).alias("key"))
+    return url_filter.judge(pages, URL_RULES, listed)
+
+
+QUERIES = {f.__name__: f for f in (op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op7_language_id, op8_winnowing, op10_url_filter)}
 SQL: dict[str, str] = {
+    "op4_poisson_mixture": r"""
+WITH sized AS (SELECT coalesce('=' || source, 'null') AS key, sum(length(coalesce(text, '')) + 1)::DOUBLE AS size FROM documents GROUP BY 1),
+rate AS (SELECT key, pow(size, 0.7) / size * (SELECT sum(size) / sum(pow(size, 0.7)) FROM sized) AS rate FROM sized),
+part AS (SELECT key, rate / greatest(ceil(rate / 16), 1) AS rate, greatest(ceil(rate / 16), 1)::INT AS pieces FROM rate),
+chance AS (SELECT key, k, sum(exp(-rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) - lgamma(k + 1) END)) OVER (PARTITION BY key ORDER BY k) AS cdf
+  FROM part, range(0, 80) AS steps(k)),
+drawn AS (SELECT doc_id, coalesce('=' || source, 'null') AS key,
+  ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || piece), 1, 13))::BIGINT / 4503599627370496.0 AS u, row
+  FROM (SELECT d.*, unnest(range(1, pieces + 1)) AS piece FROM (SELECT doc_id, source, row_number() OVER () AS row FROM documents) d
+    JOIN part ON part.key = coalesce('=' || source, 'null'))),
+times AS (SELECT row, count(*) AS times FROM drawn JOIN chance ON chance.key = drawn.key AND cdf <= u GROUP BY row)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1))::INT AS copy
+FROM (SELECT *, row_number() OVER () AS row FROM documents) JOIN times USING (row)""",
+    "op10_url_filter": r"""
+WITH cut AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+  coalesce(regexp_extract(url, '://[^/?#]*[^?#]*\?([^#]*)', 1), '') AS query FROM pages),
+told AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') || CASE WHEN params = '' THEN '' ELSE '?' || params END END
+  AS canonical FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'),
+    lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_|ref=|page=)'))), '&') AS params FROM cut)),
+listed AS (SELECT DISTINCT canonical FROM told
+  WHERE regexp_matches(host, '(^|[.-])(?:ads|casino|spam|adult|pills|bets)-|-(?:ads|casino|spam|adult|pills|bets)[.]')),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+  ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+SELECT page_id, host, path, (SELECT max_by(h || p, length(h || p)) FROM rules
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+  coalesce((SELECT max_by(verdict, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+    CASE WHEN canonical IN (SELECT canonical FROM listed WHERE canonical IS NOT NULL) THEN 'block' END, 'allow') AS verdict, canonical
+FROM told""",
     "op8_winnowing": r"""
 WITH said AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS row FROM documents),

@@ -247,9 +247,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     named = near_duplicates(docs)
     kept = stored(
-        named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key(F.col("doc_id")).alias("_key")).distinct(),
+        named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key(F.col("doc_id")).alias("_llm_key")).distinct(),
         "simhash-kept")
     return (
-        docs.withColumn("_key", id_key(F.col("doc_id"))).join(kept, "_key", "left_semi")
-        .dropDuplicates(["_key"]).drop("_key")
+        docs.withColumn("_llm_key", id_key(F.col("doc_id"))).join(kept, "_llm_key", "left_semi")
+        .dropDuplicates(["_llm_key"]).drop("_llm_key")
     )

@@ -88,9 +88,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     items = stored(item_windows(benchmark, window), "winnow-items")
     # At most ``window`` numbers.
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
-    keys = {"_id": id_key(F.col("doc_id")), "_text": F.xxhash64("text")}
+    keys = {"_llm_id": id_key(F.col("doc_id")), "_llm_text": F.xxhash64("text")}
     keyed = docs.select("doc_id", "text").withColumns(keys)
-    told = keyed.select("doc_id", "_id", "_text", n_words(F.col("text")).alias("n_words"))
+    told = keyed.select("doc_id", "_llm_id", "_llm_text", n_words(F.col("text")).alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if not lengths:
         return told.select(
@@ -98,12 +98,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             none.alias("items_sha256"), F.lit(False).alias("contaminated"))
     words = words_of(F.col("text"))
     all_marks = let(words, lambda w: F.array_distinct(F.concat(*[marks(w, n) for n in lengths])))
-    printed = keyed.select("_id", "_text", F.explode(all_marks).alias("mark"))
+    printed = keyed.select("_llm_id", "_llm_text", F.explode(all_marks).alias("mark"))
     shared = printed.join(items.select("mark").distinct(), "mark", "left_semi")
-    seeds = stored(shared.groupBy("_id", "_text").agg(F.collect_set("mark").alias("seeds")), "winnow-seeds")
-    near = keyed.join(seeds, ["_id", "_text"]).dropDuplicates(["_id", "_text"])
+    seeds = stored(shared.groupBy("_llm_id", "_llm_text").agg(F.collect_set("mark").alias("seeds")), "winnow-seeds")
+    near = keyed.join(seeds, ["_llm_id", "_llm_text"]).dropDuplicates(["_llm_id", "_llm_text"])
     cut = let(words, lambda w: F.concat(*[windows(w, marks(w, n), n, F.col("seeds")) for n in lengths]))
-    spans = near.select("_id", "_text", F.explode(cut).alias("cut")).select("_id", "_text", "cut.*")
+    spans = near.select("_llm_id", "_llm_text", F.explode(cut).alias("cut")).select("_llm_id", "_llm_text", "cut.*")
     hits = spans.join(items.select("window", "length", "items"), ["window", "length"])
 
     def cover(state: Column, span: Column) -> Column:
@@ -114,11 +114,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     covered = F.aggregate(
         F.array_sort("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), cover, lambda s: s["n"].cast("long"))
     by_doc = (
-        hits.groupBy("_id", "_text").agg(
+        hits.groupBy("_llm_id", "_llm_text").agg(
             F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"))
-        .select("_id", "_text", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
+        .select("_llm_id", "_llm_text", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
     )
-    return told.join(by_doc, ["_id", "_text"], "left").select(
+    return told.join(by_doc, ["_llm_id", "_llm_text"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(F.sha2(F.array_join("items", ","), 256), none).alias("items_sha256"),
@@ -127,5 +127,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window."""
-    hit = decontaminate(docs, benchmark, window).filter("contaminated").select(id_key(F.col("doc_id")).alias("_id")).distinct()
-    return docs.withColumn("_id", id_key(F.col("doc_id"))).join(stored(hit, "winnow-hit"), "_id", "left_anti").drop("_id")
+    hit = decontaminate(docs, benchmark, window).filter("contaminated").select(id_key(F.col("doc_id")).alias("_llm_id")).distinct()
+    return docs.withColumn("_llm_id", id_key(F.col("doc_id"))).join(stored(hit, "winnow-hit"), "_llm_id", "left_anti").drop("_llm_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import langid, mixture, private_spans, simhash, token_frames, url_filter, winnow
+from folioframe.llm import class_ngram, langid, mixture, private_spans, simhash, token_frames, url_filter, winnow
 from folioframe.llm.common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op7_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op1_class_ngram(spark: SparkSession, root: str) -> DataFrame:
+    return class_ngram.language_model(table(spark, root, "documents"))
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -59,7 +63,7 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op7_language_id, op8_winnowing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_class_ngram, op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op7_language_id, op8_winnowing, op10_url_filter)}
 SQL: dict[str, str] = {
     "op4_poisson_mixture": r"""
 WITH sized AS (SELECT coalesce('=' || source, 'null') AS key, sum(length(coalesce(text, '')) + 1)::DOUBLE AS size FROM documents GROUP BY 1),

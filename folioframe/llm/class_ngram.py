@@ -219,7 +219,7 @@ def gains(table: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, se
     out = (xlogx(rest[:, nexts] + after[nexts]) - xlogx(rest[:, nexts])).sum(axis=1)
     out += (xlogx(rest[lasts] + before[lasts, None]) - xlogx(rest[lasts])).sum(axis=0)
     out += xlogx(diagonal + after + before + self_pairs) + xlogx(diagonal) - xlogx(diagonal + after) - xlogx(diagonal + before)
-    for margin, more in ((rest.sum(axis=1), after.sum()), (rest.sum(axis=0), before.sum())):
+    for margin, more in ((rest.sum(axis=1) + before, after.sum()), (rest.sum(axis=0) + after, before.sum())):
         out -= xlogx(margin + more + self_pairs) - xlogx(margin)
     return out
 

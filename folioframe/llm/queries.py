@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import class_ngram, langid, mixture, private_spans, simhash, token_frames, url_filter, winnow
+from folioframe.llm import class_ngram, cotrain, langid, mixture, private_spans, simhash, token_frames, url_filter, winnow
 from folioframe.llm.common import held_out, table
 
 
@@ -46,6 +46,10 @@ def op8_winnowing(spark: SparkSession, root: str) -> DataFrame:
     return winnow.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+def op9_cotraining_quality(spark: SparkSession, root: str) -> DataFrame:
+    return cotrain.quality(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"),
     url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
@@ -63,7 +67,7 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op1_class_ngram, op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op7_language_id, op8_winnowing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_class_ngram, op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op7_language_id, op8_winnowing, op9_cotraining_quality, op10_url_filter)}
 SQL: dict[str, str] = {
     "op4_poisson_mixture": r"""
 WITH sized AS (SELECT coalesce('=' || source, 'null') AS key, sum(length(coalesce(text, '')) + 1)::DOUBLE AS size FROM documents GROUP BY 1),

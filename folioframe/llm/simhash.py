@@ -9,17 +9,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import components, id_key, stored
+from folioframe.llm.common import components, stored
 from folioframe.session import ship_package
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 3, 64
 # Two of five bands agree wherever at most three bits differ, so ten tables of 25 or 26 bits
 # find every link. BLOCK bounds what is compared at once, however many fingerprints agree.
 BANDS, AGREE, BLOCK = 5, 2, 512
-PIECE = 255 * 256
+PIECE = 4096
+# The pipeline's near copies: sets of five-word shingles with a similarity of 0.8 or more, which
+# mostly differ in more than three bits of 64. MINS rows to each of SLOTS keys let 99.9 % meet.
+WIDE, SIMILAR, MINS, SLOTS = 5, 0.8, 6, 24
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -37,25 +40,31 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return counts.reshape(64)
 
 
-def fingerprint(text: str | None) -> int:
-    """Signed 64-bit SimHash of the word shingles of a whole text; 0 without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each run of ``width`` words of a whole text; of all words, if there are fewer."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    width = min(SHINGLE, len(words))
+    width = min(width, len(words))
     starts = np.concatenate(([0], ends[:len(words) - width] + 1)).tolist()
     stops = ends[width - 1:].tolist()
-    counts = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), PIECE):
-        piece = [digest(joined[a:b], SEED) for a, b in zip(starts[at:at + PIECE], stops[at:at + PIECE], strict=True)]
-        counts += bit_counts(np.array(piece, np.uint64))
-    set_bits = (counts * 2 > len(starts)).astype(np.uint8)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of some hashes as a signed long: the bits that over half of them have."""
+    set_bits = (bit_counts(hashes) * 2 > len(hashes)).astype(np.uint8)
     return int(np.packbits(set_bits, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """Signed 64-bit SimHash of the word shingles of a whole text; 0 without words."""
+    return folded(shingle_hashes(text, SHINGLE))
+
+
 def fingerprints(text: Column) -> Column:
     """The fingerprint of each text as a signed long."""
     @F.pandas_udf("long")
@@ -239,17 +248,109 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(of_value, "fp").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id.
+_RANDOM = np.random.default_rng(SEED).integers(1 << 63, size=(2, MINS * SLOTS), dtype=np.uint64)
+_TIMES, _PLUS = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1]
+
+
+def sketch(text: str | None) -> tuple[int, int, list[int]]:
+    """SimHash of the five-word shingles, a hash of their set, and the set's min-hash keys."""
+    hashes = shingle_hashes(text, WIDE)
+    distinct = np.unique(hashes)
+    least = np.full(MINS * SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), PIECE):
+        least = np.minimum(least, (distinct[at:at + PIECE, None] * _TIMES + _PLUS).min(axis=0))
+    rows = least.reshape(SLOTS, MINS)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), slot) for slot, row in enumerate(rows)] if len(distinct) else []
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return folded(hashes), signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)), list(map(signed, keys))
+
+
+def sketches(text: Column) -> Column:
+    @F.pandas_udf("struct<fp: long, content: long, keys: array<long>>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([sketch(t) for t in texts], columns=["fp", "content", "keys"])
+
+    return of(text)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two texts' sets of five-word shingles; 1 if both are empty."""
+    @F.pandas_udf("double")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right, strict=True):
+                x, y = np.unique(shingle_hashes(x, WIDE)), np.unique(shingle_hashes(y, WIDE))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both / max(1, len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+            yield pd.Series(out, dtype="float64")
+
+    return of(a, b)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ``texts(id, text)`` are similar enough."""
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copies-needed")
+    wanted = stored(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), "copies-texts")
+    left = wanted.select(F.col("id").alias("a"), F.col("text").alias("_left"))
+    right = wanted.select(F.col("id").alias("b"), F.col("text").alias("_right"))
+    told = pairs.join(left, "a").join(right, "b").withColumn("_alike", similarity(F.col("_left"), F.col("_right")))
+    return told.filter(F.col("_alike") >= least).select("a", "b")
 
-    Rows that repeat an id count as copies. Of components without any id, and of texts
-    without id, one row stays.
+
+def similar_links(buckets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``a, b``: similar texts among those that share a key of ``buckets(key, id)``.
+
+    In each bucket all ids are compared with the first. Those unlike it go on to the next
+    round, where each is compared with the first four of them, then sixteen and so on, until
+    each has met a similar one or all before it. A bucket of copies takes one comparison each.
     """
-    named = near_duplicates(docs)
-    kept = stored(
-        named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key(F.col("doc_id")).alias("_llm_key")).distinct(),
-        "simhash-kept")
-    return (
-        docs.withColumn("_llm_key", id_key(F.col("doc_id"))).join(kept, "_llm_key", "left_semi")
-        .dropDuplicates(["_llm_key"]).drop("_llm_key")
-    )
+    found, leaders = None, 1
+    while True:
+        if leaders == 1:
+            first = stored(
+                buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies-first")
+            ranked = buckets.join(first, "key")
+            met = ranked.filter("id <> lead").select("key", "id", "lead")
+        else:
+            order = Window.partitionBy("key").orderBy("id")
+            ranked = stored(buckets.withColumn("at", F.row_number().over(order)), "copies-ranked")
+            first = ranked.filter(F.col("at") <= leaders).select("key", F.col("id").alias("lead"), F.col("at").alias("before"))
+            met = ranked.join(first, "key").filter("before < at").select("key", "id", "lead")
+        met = stored(met, "copies-met")
+        alike = stored(verified(met.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), texts, least), "copies-alike")
+        found = alike if found is None else found.union(alike)
+        settled = met.join(alike, (met.id == alike.a) & (met.lead == alike.b), "left_semi").select("key", "id").distinct()
+        rest = (met.select("key", "id").distinct() if leaders == 1 else ranked.filter(F.col("at") > leaders).select("key", "id"))
+        buckets = stored(rest.join(settled, ["key", "id"], "left_anti"), "copies-rest")
+        if buckets.isEmpty():
+            return found
+        leaders *= 4
+
+
+def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row, that of the smallest id, of each group of near copies.
+
+    Texts are near copies if their sets of five-word shingles have a similarity of ``least`` or
+    more; groups are closed under it. Candidates are linked SimHash fingerprints and, since at
+    this similarity fingerprints differ in more bits than any table of them can afford, equal
+    min-hash keys; whole texts decide. Texts without words are copies of each other, as are
+    rows that repeat an id. Rows without id go by their text, behind all ids.
+    """
+    ship_package(docs.sparkSession)
+    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("_llm_key", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    marked = stored(keyed.select(F.col("_llm_key").alias("id"), sketches(F.col("text")).alias("s")).select("id", "s.*"), "copies-marks")
+    sets = stored(
+        marked.groupBy("content").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "copies-sets")
+    values = stored(sets.groupBy("fp").agg(F.min("id").alias("id")), "copies-values")
+    roots = components(stored(links(values.select("fp")), "copies-near"), "copies-near")
+    near = sets.join(roots, sets.fp == roots.v, "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "id")
+    buckets = stored(near.union(sets.select(F.explode("keys").alias("key"), "id")), "copies-buckets")
+    alike = similar_links(buckets, keyed.select(F.col("_llm_key").alias("id"), "text"), least)
+    joined = components(alike.union(
+        marked.join(sets.select("content", F.col("id").alias("first")), "content").filter("id <> first").select(F.col("id"), F.col("first"))),
+        "copies-groups")
+    dropped = stored(joined.filter("root <> v").select(F.col("v").alias("_llm_key")), "copies-dropped")
+    return keyed.join(dropped, "_llm_key", "left_anti").dropDuplicates(["_llm_key"]).drop("_llm_key")

@@ -72,39 +72,31 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document of ``docs(doc_id, text)``, how much of it stands in ``benchmark(item_id, text)``.
+KEYS = ["_llm_id", "_llm_text"]
 
-    Marks of documents and items are joined; the windows at the marks they share are then
-    compared word by word and extended to all words they cover. Every shared window is found,
-    since both sides give it the same mark; nothing else is reported. A shorter item is a
-    window of its own length, and documents are marked for each such length that occurs.
 
-    ``n_words, n_hit, n_items, items_sha256, contaminated``: a null or empty text has no words
-    and no hits; the digest of no items is that of the empty string; a null item id counts as
-    an item but is not written in the digest. Repeated rows each get their row. An empty
-    benchmark hits nothing.
-    """
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with keys that tell rows apart also where the id is null."""
+    return docs.withColumns({"_llm_id": id_key(F.col("doc_id")), "_llm_text": F.xxhash64("text")})
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``_llm_id, _llm_text, n_hit, items`` of the keyed rows that hold a benchmark window."""
     items = stored(item_windows(benchmark, window), "winnow-items")
     # At most ``window`` numbers.
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
-    keys = {"_llm_id": id_key(F.col("doc_id")), "_llm_text": F.xxhash64("text")}
-    keyed = docs.select("doc_id", "text").withColumns(keys)
-    told = keyed.select("doc_id", "_llm_id", "_llm_text", n_words(F.col("text")).alias("n_words"))
-    none = F.sha2(F.lit(""), 256)
     if not lengths:
-        return told.select(
-            "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
-            none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return docs.sparkSession.createDataFrame([], "_llm_id long, _llm_text long, n_hit long, items array<string>")
+    keyed = docs.select(*KEYS, "text")
     words = words_of(F.col("text"))
     all_marks = let(words, lambda w: F.array_distinct(F.concat(*[marks(w, n) for n in lengths])))
-    printed = keyed.select("_llm_id", "_llm_text", F.explode(all_marks).alias("mark"))
+    printed = keyed.select(*KEYS, F.explode(all_marks).alias("mark"))
     shared = printed.join(items.select("mark").distinct(), "mark", "left_semi")
-    seeds = stored(shared.groupBy("_llm_id", "_llm_text").agg(F.collect_set("mark").alias("seeds")), "winnow-seeds")
-    near = keyed.join(seeds, ["_llm_id", "_llm_text"]).dropDuplicates(["_llm_id", "_llm_text"])
+    seeds = stored(shared.groupBy(*KEYS).agg(F.collect_set("mark").alias("seeds")), "winnow-seeds")
+    near = keyed.join(seeds, KEYS).dropDuplicates(KEYS)
     cut = let(words, lambda w: F.concat(*[windows(w, marks(w, n), n, F.col("seeds")) for n in lengths]))
-    spans = near.select("_llm_id", "_llm_text", F.explode(cut).alias("cut")).select("_llm_id", "_llm_text", "cut.*")
-    hits = spans.join(items.select("window", "length", "items"), ["window", "length"])
+    spans = near.select(*KEYS, F.explode(cut).alias("cut")).select(*KEYS, "cut.*")
+    met = spans.join(items.select("window", "length", "items"), ["window", "length"])
 
     def cover(state: Column, span: Column) -> Column:
         stop = span["start"] + span["length"]
@@ -113,19 +105,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     covered = F.aggregate(
         F.array_sort("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), cover, lambda s: s["n"].cast("long"))
-    by_doc = (
-        hits.groupBy("_llm_id", "_llm_text").agg(
-            F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"))
-        .select("_llm_id", "_llm_text", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
-    )
-    return told.join(by_doc, ["_llm_id", "_llm_text"], "left").select(
+    together = met.groupBy(*KEYS).agg(
+        F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"))
+    return together.select(*KEYS, covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document of ``docs(doc_id, text)``, how much of it stands in ``benchmark(item_id, text)``.
+
+    Marks of documents and items are joined; the windows at the marks they share are then
+    compared word by word and extended to all words they cover. Every shared window is found,
+    since both sides give it the same mark; nothing else is reported. A shorter item is a
+    window of its own length, and documents are marked for each such length that occurs.
+
+    ``n_words, n_hit, n_items, items_sha256, contaminated``: a null or empty text has no words
+    and no hits; the digest of no items is that of the empty string; items without id are not
+    counted. Repeated rows each get their row. An empty benchmark hits nothing.
+    """
+    keyed = keyed_rows(docs.select("doc_id", "text"))
+    told = keyed.select("doc_id", *KEYS, n_words(F.col("text")).alias("n_words"))
+    return told.join(hits(keyed, benchmark, window), KEYS, "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(F.sha2(F.array_join("items", ","), 256), none).alias("items_sha256"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window."""
-    hit = decontaminate(docs, benchmark, window).filter("contaminated").select(id_key(F.col("doc_id")).alias("_llm_id")).distinct()
-    return docs.withColumn("_llm_id", id_key(F.col("doc_id"))).join(stored(hit, "winnow-hit"), "_llm_id", "left_anti").drop("_llm_id")
+    keyed = keyed_rows(docs)
+    hit = stored(hits(keyed, benchmark, window).select(*KEYS), "winnow-hit")
+    return keyed.join(hit, KEYS, "left_anti").drop(*KEYS)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import class_ngram, cotrain, langid, mixture, private_spans, simhash, token_frames, url_filter, winnow
+from folioframe.llm import (
+    class_ngram, cotrain, langid, mixture, private_spans, simhash, token_frames, url_filter, vector_approx, winnow,
+)
 from folioframe.llm.common import held_out, table
 
 
@@ -17,6 +19,10 @@ def op5_private_spans(spark: SparkSession, root: str) -> DataFrame:
     return private_spans.find(table(spark, root, "documents").select("doc_id", "text"))
 
 
+def op6_vector_approximation(spark: SparkSession, root: str) -> DataFrame:
+    return vector_approx.top_k(table(spark, root, "embeddings"), 10)
+
+
 def op7_language_id(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4).alias("held_out"))
     model = langid.train(docs.filter("NOT held_out"))
@@ -67,7 +73,7 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op1_class_ngram, op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op7_language_id, op8_winnowing, op9_cotraining_quality, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_class_ngram, op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op6_vector_approximation, op7_language_id, op8_winnowing, op9_cotraining_quality, op10_url_filter)}
 SQL: dict[str, str] = {
     "op4_poisson_mixture": r"""
 WITH sized AS (SELECT coalesce('=' || source, 'null') AS key, sum(length(coalesce(text, '')) + 1)::DOUBLE AS size FROM documents GROUP BY 1),
@@ -98,6 +104,14 @@ SELECT page_id, host, path, (SELECT max_by(h || p, length(h || p)) FROM rules
   coalesce((SELECT max_by(verdict, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
     CASE WHEN canonical IN (SELECT canonical FROM listed WHERE canonical IS NOT NULL) THEN 'block' END, 'allow') AS verdict, canonical
 FROM told""",
+    "op6_vector_approximation": r"""
+WITH valid AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT query_id, vec_id, score,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank
+  FROM (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM valid q JOIN valid c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)))
+WHERE rank <= 10""",
     "op8_winnowing": r"""
 WITH said AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS row FROM documents),

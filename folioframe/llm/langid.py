@@ -20,6 +20,7 @@ LONGEST = 5
 UNKNOWN = "und"
 REMEMBERED = 100_000
 PLACES = 1 << 30
+BACKGROUND = 10.0
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,8 @@ def most_frequent(counts: DataFrame, size: int) -> DataFrame:
 
 
 def frequencies(rows: pd.DataFrame, langs: list[str], by_length: bool) -> tuple[dict[str, int], np.ndarray]:
-    """Index and smoothed log frequencies; n-grams are counted among those of their length."""
+    """Index and log frequencies, smoothed by BACKGROUND draws from the mean over languages;
+    n-grams are counted among those of their length."""
     names = sorted(set(rows["gram"]))
     at = {g: i for i, g in enumerate(names)}
     column = {lang: i for i, lang in enumerate(langs)}
@@ -82,8 +84,9 @@ def frequencies(rows: pd.DataFrame, langs: list[str], by_length: bool) -> tuple[
     kind = np.array([len(g) for g in names]) if by_length else np.zeros(len(names), int)
     for k in np.unique(kind):
         mine = kind == k
-        part = counts[mine] + 0.5
-        logs[mine] = np.log(part / part.sum(axis=0))
+        part = counts[mine] + 1e-9
+        shares = (part / part.sum(axis=0)).mean(axis=1, keepdims=True)
+        logs[mine] = np.log((counts[mine] + BACKGROUND * shares) / (counts[mine].sum(axis=0) + BACKGROUND))
     return at, logs.astype(np.float32)
 
 
@@ -91,9 +94,10 @@ def train(docs: DataFrame, per_language: int = 2_000, vocabulary: int = 50_000)
     """A model from ``docs(doc_id, text, lang)``; rows without a language are left out.
 
     Fitted on a bounded sample of labelled rows: of each language about ``per_language``
-    documents, chosen by the hash of their ids (all, if there are no more). The model holds at most ``vocabulary`` words and as many n-grams of each language, which
-    bounds what reaches the driver and the workers. Priors count all labelled rows. An empty
-    table gives a model without languages.
+    documents, chosen by the hash of their ids (all, if there are no more). The model holds at
+    most ``vocabulary`` words and as many n-grams of each language, which bounds what reaches
+    the driver and the workers. Priors count all labelled rows. An empty table gives a model
+    without languages.
     """
     spark = docs.sparkSession
     ship_package(spark)

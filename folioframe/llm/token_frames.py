@@ -32,7 +32,8 @@ from folioframe.session import ship_package
 SKIPPABLE, TABLE, FOOTER, CHECKED = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)
 LEVEL = 3
-TOGETHER, REMEMBERED = 256, 400_000
+TOGETHER, REMEMBERED = 256, 500_000
+STOPS = (".", ",")
 ENCODED = "doc_id long, n_tokens long, plain long, checksum long, frame binary"
 WRITTEN = "part long, path string, documents long, tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, path string, frame long"
@@ -43,8 +44,9 @@ class Encoder:
 
     The vocabulary's rules never look across a space: its normaliser composes characters and
     lowers them one by one, and its pattern drops white space. So a text's ids are those of
-    its pieces in a row, and pieces that come again are not encoded again. What is remembered
-    is bounded.
+    its pieces in a row, and pieces that come again are not encoded again. A single stop or
+    comma behind a letter or digit is a token of its own. Pieces are remembered in two
+    generations of bounded size; those in use move on to the next.
     """
 
     def __init__(self, vocabulary: str, end_id: int):
@@ -54,18 +56,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """Make sure that all of ``pieces`` are known."""
+        known, former = self.known, self.former
+        fresh = []
+        for piece in pieces:
+            if (data := former.get(piece)) is not None:
+                known[piece] = data
+            else:
+                fresh.append(piece)
+        if fresh:
+            for piece, encoded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                known[piece] = struct.pack(f"<{len(encoded)}I", *encoded.ids)
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids with the end id, as bytes."""
-        pieces = [[p for p in t.replace("\n", " ").split(" ") if p] if t else [] for t in texts]
-        fresh = list({p for own in pieces for p in own if p not in self.known})
-        for piece, encoded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(encoded.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        found = [b"".join(map(get, own)) + self.end for own in pieces]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        return found
+            self.former, self.known = self.known, {}
+        pieces = [lowered(t).replace("\n", " ").split(" ") if t else [] for t in texts]
+        known = self.known
+        fresh = set().union(*pieces).difference(known)
+        ended = {p for p in fresh if p[-1:] in STOPS and p[-2:-1].isascii() and p[-2:-1].isalnum()}
+        self.learn((fresh - ended | {p[:-1] for p in ended} | set(STOPS)).difference(known))
+        for piece in ended:
+            known[piece] = known[piece[:-1]] + known[piece[-1]]
+        return [b"".join(map(known.__getitem__, own)) + self.end for own in pieces]
+
+
+def lowered(text: str) -> str:
+    """An ASCII text in lower case, as the vocabulary has it anyway, unless that could make a
+    special token of it."""
+    return text.lower() if text.isascii() and "<|" not in text else text
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(vocabulary: str, end_id: int) -> Encoder:
+    """One encoder in each worker process; tasks that follow each other share what it knows."""
+    key = vocabulary, end_id
+    if key not in _encoders:
+        _encoders[key] = Encoder(vocabulary, end_id)
+    return _encoders[key]
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
@@ -73,7 +107,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(vocabulary, end_id), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
+        encoder, packer = encoder_of(vocabulary, end_id), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)

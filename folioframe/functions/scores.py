@@ -26,7 +26,8 @@ def ratio(top: Column, bottom: Column, empty: float = 0.0) -> Column:
     return F.when(bottom == 0, F.lit(empty)).otherwise(top / bottom)
 
 
-def top_k(df: DataFrame, group: str | list[str], k: int | Column, *order: Column, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows of each group. Spark cuts each partition to ``k`` before the shuffle."""
+def top_k(df: DataFrame, group: str | list[str], k: int | Column | None, *order: Column, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows of each group, all for None. Spark cuts each partition to ``k`` before the shuffle."""
     window = Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(window))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)

@@ -7,10 +7,8 @@ optimizer adds a filter that computes the array a second and a third time.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import itertools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,78 +206,90 @@ def char_chunks(documents: DataFrame, size: int = 1000) -> DataFrame:
         "document_id", "chunk_index", F.substr("text", F.col("p"), F.lit(size)).alias("text"))
 
 
-# -- semantic chunks: sequential state within one text ------------------------------------
-
-_BOUNDARY = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|(?<=\n)")
-
-
-def _cost(words: int) -> int:
-    return max(1, int(words * 1.3)) if words else 0
-
-
-def semantic_pieces(text: str, max_tokens: int, overlap_tokens: int, min_tokens: int) -> list[str]:
-    """Sentences packed to ``max_tokens`` with a sentence overlap; small pieces join the one before."""
-    sentences = [
-        " ".join(part.split())
-        for block in re.split(r"\n\s*\n", text)
-        for part in _BOUNDARY.split(block.strip())
-        if part and part.strip()
-    ]
-    out: list[str] = []
-    held: list[str] = []
-    held_cost = 0
-    for sentence in sentences:
-        words = sentence.split()
-        cost = _cost(len(words))
-        if cost > max_tokens:
-            if held:
-                out.append(" ".join(held))
-            held, held_cost = [], 0
-            out.extend(" ".join(words[i:i + max_tokens]) for i in range(0, len(words), max_tokens))
-            continue
-        if held and held_cost + cost > max_tokens:
-            out.append(" ".join(held))
-            tail: list[str] = []
-            carried = 0
-            for earlier in reversed(held if overlap_tokens > 0 else []):
-                weight = _cost(len(earlier.split()))
-                if tail and carried + weight > overlap_tokens:
-                    break
-                tail.append(earlier)
-                carried += weight
-                if carried >= overlap_tokens:
-                    break
-            held, held_cost = tail[::-1], carried
-        held.append(sentence)
-        held_cost += cost
-    if held:
-        out.append(" ".join(held))
-    merged: list[str] = []
-    for piece in out:
-        if merged and _cost(len(piece.split())) < min_tokens:
-            joined = f"{merged[-1]} {piece}"
-            if _cost(len(joined.split())) <= max_tokens:
-                merged[-1] = joined
-                continue
-        merged.append(piece)
-    return merged
+# -- semantic chunks: two folds over sentence sizes, within the row -------------------------
+
+# fixed values: where sentences end, and tokens per word
+SENTENCE_END = r"(?<=[.!?])[\"'”’)]*\s+|\n"
+TOKENS_PER_WORD = 1.3
+_SPANS = "array<struct<first: int, stop: int>>"
+
+
+def _cost(words: Column) -> Column:
+    """Estimated tokens of a number of words."""
+    return F.when(words > 0, F.greatest(F.lit(1), F.floor(words * F.lit(TOKENS_PER_WORD)).cast("int"))).otherwise(0)
+
+
+def _sums(values: Column) -> Column:
+    """0 and all running totals."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda out, v: F.array_append(out, F.element_at(out, -1) + v))
+
+
+def _spans(sizes: Column, max_tokens: int, overlap_tokens: int) -> Column:
+    """Chunks as spans of word numbers. A chunk is always a run of words: whole sentences, from
+    as far back as the overlap allows, or a window of a sentence that is too long by itself.
+    """
+    def fold(costs: Column, words: Column, spent: Column) -> Column:
+        def close(out: Column, lo: Column, i: Column) -> Column:
+            span = F.struct(F.get(words, lo).alias("first"), F.get(words, i).alias("stop"))
+            return F.when(lo < i, F.array_append(out, span)).otherwise(out)
+
+        def windows(i: Column) -> Column:
+            first, stop = F.get(words, i), F.get(words, i + 1)
+            return F.transform(F.sequence(first, stop - 1, F.lit(max_tokens)), lambda at: F.struct(
+                at.alias("first"), F.least(at + max_tokens, stop).alias("stop")))
+
+        def back(lo: Column, i: Column) -> Column:
+            # The earliest sentence from which the rest fits in the overlap; one at least.
+            fits = F.filter(F.sequence(lo, i - 1), lambda j: F.get(spent, i) - F.get(spent, j) <= overlap_tokens)
+            return F.coalesce(F.get(fits, F.lit(0)), i - 1) if overlap_tokens > 0 else i
+
+        def step(state: Column, i: Column) -> Column:
+            cost, lo, out = F.get(costs, i), state["lo"], state["out"]
+            held = F.get(spent, i) - F.get(spent, lo)
+            long, full = cost > max_tokens, (lo < i) & (held + cost > max_tokens)
+            return F.struct(
+                F.when(long, i + 1).when(full, back(lo, i)).otherwise(lo).alias("lo"),
+                F.when(long, F.concat(close(out, lo, i), windows(i))).when(full, close(out, lo, i)).otherwise(out).alias("out"))
+
+        start = F.struct(F.lit(0).alias("lo"), F.array().cast(_SPANS).alias("out"))
+        return F.when(F.size(costs) > 0, F.aggregate(
+            F.sequence(F.lit(0), F.size(costs) - 1), start, step, lambda s: close(s["out"], s["lo"], F.size(costs))))
+
+    costs = F.transform(sizes, _cost)
+    return X.let(F.struct(costs.alias("c"), _sums(sizes).alias("w")), lambda s: X.let(
+        _sums(s["c"]), lambda spent: fold(s["c"], s["w"], spent)))
+
+
+def _grouped(spans: Column, max_tokens: int, min_tokens: int) -> Column:
+    """Spans gathered to chunks: a small one joins the chunk before where both fit."""
+    def step(out: Column, span: Column) -> Column:
+        n = span["stop"] - span["first"]
+        last = F.element_at(out, -1)
+        joins = (F.size(out) > 0) & (_cost(n) < min_tokens) & (_cost(F.try_element_at(out, F.lit(-1))["n"] + n) <= max_tokens)
+        alone = F.struct(n.alias("n"), F.array(span).alias("spans"))
+        return F.when(joins, F.array_append(F.slice(out, 1, F.size(out) - 1), F.struct(
+            (last["n"] + n).alias("n"), F.array_append(last["spans"], span).alias("spans")))).otherwise(F.array_append(out, alone))
+
+    return F.aggregate(spans, F.array().cast(f"array<struct<n: int, spans: {_SPANS}>>"), step)
 
 
 def semantic_chunks(documents: DataFrame, max_tokens: int = 500, overlap_tokens: int = 50, min_tokens: int = 50) -> DataFrame:
-    """Sentence-aware chunks. Each text is cut on its own, batch by batch, without a shuffle."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            cut = [semantic_pieces(t, max_tokens, overlap_tokens, min_tokens) for t in frame["text"]]
-            sizes = [len(c) for c in cut]
-            yield pd.DataFrame({
-                "document_id": frame["document_id"].repeat(sizes).to_numpy(),
-                "chunk_index": [i for n in sizes for i in range(n)],
-                "text": [piece for c in cut for piece in c],
-            })
-
-    kind = documents.schema["document_id"].dataType.simpleString()
-    made = documents.select("document_id", normalize_lines(F.col("text")).alias("text")).filter("text <> ''").mapInPandas(
-        run, f"document_id {kind}, chunk_index int, text string")
+    """Sentence-aware chunks, cut within the row by folds over sentence sizes.
+
+    Sentences fill a chunk to ``max_tokens``; the next begins with those last ones that fit in
+    ``overlap_tokens``; a longer sentence is cut into windows of ``max_tokens`` words. Chunks
+    below ``min_tokens`` join the one before if both fit. Texts without words give no rows.
+    """
+    said = F.filter(F.transform(F.split("text", SENTENCE_END), lambda s: X.words(s)), lambda ws: F.size(ws) > 0)
+
+    def texts(sentences: Column) -> Column:
+        sizes = F.transform(sentences, lambda ws: F.size(ws))
+        chunks = X.let(_spans(sizes, max_tokens, overlap_tokens), lambda spans: _grouped(spans, max_tokens, min_tokens))
+        return X.let(F.flatten(sentences), lambda words: F.transform(chunks, lambda c: F.array_join(F.flatten(F.transform(
+            c["spans"], lambda s: F.slice(words, s["first"] + 1, s["stop"] - s["first"]))), " ")))
+
+    rows = documents.select("document_id", normalize_lines(F.col("text")).alias("text")).select("document_id", said.alias("ss")).filter(F.size("ss") > 0)
+    made = rows.select("document_id", F.posexplode_outer(X.let(F.col("ss"), texts)).alias("chunk_index", "text")).filter("chunk_index IS NOT NULL")
     return made.withColumn("token_count", X.tokens_by_words(F.col("text")))
 
 
@@ -308,10 +318,10 @@ def broken_sequences(chunks: DataFrame) -> DataFrame:
     ).filter("low <> 0 OR high <> n - 1 OR distinct_n <> n")
 
 
-def document_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def document_tree(nodes: DataFrame) -> DataFrame:
     """``node_id, parent_id, depth``: nodes below the root (null parent); orphans hang on the root.
 
-    One join per level, at most ``max_depth``; each level is cut from its history.
+    One join per level, until one is empty; each level is cut from its history.
     """
     from folioframe.session import cut_lineage
 
@@ -322,13 +332,11 @@ def document_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     level = cut_lineage(tied.filter("parent_id IS NULL").withColumn("depth", F.lit(1)))
     levels = [level]
     below = tied.filter("parent_id IS NOT NULL")
-    for depth in range(2, max_depth + 2):
+    for depth in itertools.count(2):
         level = cut_lineage(below.join(level.select(F.col("node_id").alias("parent_id")), "parent_id").select(
             "node_id", "parent_id", F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
-        if depth > max_depth:
-            raise ValueError(f"tree deeper than {max_depth}")
         levels.append(level)
     tree = levels[0]
     for more in levels[1:]:

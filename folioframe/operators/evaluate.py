@@ -158,7 +158,7 @@ def answer_check(qa: DataFrame, evidence: DataFrame, min_relevance: float = 0.45
     scored = j.select("query_id", relevance.alias("r"), complete.alias("c"), F.array_sort(F.array_except("q", "a")).alias("missing"))
     return scored.select(
         "query_id", r6(F.col("r")).alias("relevance"), r6(F.col("c")).alias("completeness"), (F.col("c") >= min_completeness).alias("grounded"),
-        F.size("missing").alias("missing_terms"), ((F.col("r") >= min_relevance) & (F.col("c") >= min_completeness)).alias("acceptable"))
+        "missing", ((F.col("r") >= min_relevance) & (F.col("c") >= min_completeness)).alias("acceptable"))
 
 
 def retrieval_check(queries: DataFrame, evidence: DataFrame, min_items: int = 1, min_relevance: float = 0.45, min_diversity: float = 0.20) -> DataFrame:
@@ -185,7 +185,7 @@ def coverage_gaps(queries: DataFrame, evidence: DataFrame, min_items: int = 1, m
     cov = F.when(bare, 0.0).when(F.size("ts") == 0, F.least(F.lit(1.0), F.col("usable") / 3.0)).otherwise(F.size("hit") / F.size("ts"))
     scored = j.select("query_id", bare.alias("bare"), cov.alias("cov"), F.array_except("ts", "hit").alias("missing"))
     severity = F.when(F.col("bare"), "high").when(F.col("cov") >= min_coverage, None).when(F.col("cov") < 0.20, "critical").when(F.col("cov") < 0.35, "high").otherwise("medium")
-    return scored.select("query_id", r6(F.col("cov")).alias("coverage"), F.size("missing").alias("missing_terms"), severity.alias("severity"), severity.isNotNull().alias("has_gaps"))
+    return scored.select("query_id", r6(F.col("cov")).alias("coverage"), F.array_sort("missing").alias("missing"), severity.alias("severity"), severity.isNotNull().alias("has_gaps"))
 
 
 def critic_score(queries: DataFrame, qa: DataFrame, evidence: DataFrame, threshold: float = 0.72) -> DataFrame:

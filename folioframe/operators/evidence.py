@@ -38,29 +38,17 @@ def claim_sentences(text: Column, min_length: int = 30) -> Column:
     return F.filter(cleaned, plausible)
 
 
-def extract_claims(evidence: DataFrame, per_document: int = 5, total: int = 50) -> DataFrame:
-    """New claims of each query's documents in rank order, capped per document and in all.
+def extract_claims(evidence: DataFrame) -> DataFrame:
+    """All different claims of each query, in the order of its documents.
 
-    A document adds its first claims not taken yet, so later documents depend on earlier
-    ones: the k documents of a query are folded in order. Claims are made distinct before.
+    A claim belongs to the first document that makes it; spelling in capitals does not count.
     """
-    def distinct(cs: Column) -> Column:
-        return X.let(F.transform(cs, lambda c: F.lower(c)), lambda low: F.filter(cs, lambda c, i: F.array_position(low, F.lower(c)) == i + 1))
-
-    cut = evidence.select("query_id", "rank", "chunk_id", claim_confidence().alias("confidence"),
-                          X.let(claim_sentences(F.col("text")), distinct).alias("claims"))
-    docs = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "confidence", "claims")))
-    empty = F.array().cast("array<struct<chunk_id: bigint, confidence: double, claim: string>>")
-
-    def take(acc: Column, d: Column) -> Column:
-        room = F.greatest(F.lit(0), F.least(F.lit(per_document), total - F.size(acc)))
-        return X.let(F.transform(acc, lambda a: F.lower(a["claim"])), lambda taken: F.concat(acc, F.transform(
-            F.slice(F.filter(d["claims"], lambda c: ~F.array_contains(taken, F.lower(c))), F.lit(1), room),
-            lambda c: F.struct(d["chunk_id"].alias("chunk_id"), d["confidence"].alias("confidence"), c.alias("claim")))))
-
-    per_query = cut.groupBy("query_id").agg(docs.alias("docs"))
-    return per_query.select("query_id", F.posexplode_outer(F.aggregate("docs", empty, take)).alias("claim_index", "c")).filter("claim_index IS NOT NULL").select(
-        "query_id", "claim_index", "c.chunk_id", "c.claim", "c.confidence")
+    said = evidence.select(
+        "query_id", "rank", "chunk_id", claim_confidence().alias("confidence"), F.posexplode_outer(claim_sentences(F.col("text"))).alias("place", "claim"))
+    first = said.filter("claim IS NOT NULL").groupBy("query_id", F.lower("claim").alias("said")).agg(
+        F.min(F.struct("rank", "place", "chunk_id", "confidence", "claim")).alias("c")).select("query_id", "c.*")
+    order = Window.partitionBy("query_id").orderBy("rank", "place")
+    return first.withColumn("claim_index", F.row_number().over(order) - 1).select("query_id", "claim_index", "chunk_id", "claim", "confidence")
 
 
 def claim_confidence(score: str = "relevance", source: str = "source") -> Column:
@@ -100,7 +88,7 @@ def evidence_key(rows: DataFrame) -> Column:
     return F.coalesce(*parts, F.concat(F.lit("content:"), F.sha2(X.squeeze(F.lower("text")), 256)))
 
 
-def collect_evidence(rows: DataFrame, limit: int = 10, min_score: float = 0.0) -> DataFrame:
+def collect_evidence(rows: DataFrame, limit: int | None = None, min_score: float = 0.0) -> DataFrame:
     """Best rows of each query, one per chunk, document, paper or text.
 
     ``rows`` carry ``row_id`` and ``evidence_score``; only keys and scores are shuffled twice.
@@ -112,8 +100,8 @@ def collect_evidence(rows: DataFrame, limit: int = 10, min_score: float = 0.0) -
     return top_k(flat, "query_id", limit, F.desc("evidence_score"), F.asc("row_id"))
 
 
-def collect_evidence_ordered(rows: DataFrame, limit: int = 20, min_length: int = 10) -> DataFrame:
-    """First ``limit`` distinct rows in order of arrival, then by score: a later, better row stays out."""
+def collect_evidence_ordered(rows: DataFrame, limit: int | None = None, min_length: int = 10) -> DataFrame:
+    """Distinct rows by score; with a ``limit``, the first so many in order of arrival."""
     text = F.regexp_replace("text", r"^\s+|\s+$", "")
     key = F.coalesce(F.concat(F.col("document_id").cast("string"), F.lit(":"), F.col("chunk_id").cast("string")), F.sha2(X.squeeze(F.lower("text")), 256))
     keyed = rows.filter(F.length(text) >= min_length).select("query_id", "arrival", "score", key.alias("key"))

@@ -92,8 +92,8 @@ def route_queries(queries: DataFrame) -> DataFrame:
         .otherwise(F.greatest("semantic", "keyword", F.lit(0.5))).alias("confidence"))
 
 
-def expand_queries(queries: DataFrame, limit: int = 3) -> DataFrame:
-    """Up to ``limit`` search texts per query: as given, keywords, expansions, phrases first."""
+def expand_queries(queries: DataFrame) -> DataFrame:
+    """The different search texts of each query: as given, keywords, expansions, phrases first."""
     table = F.create_map(*[x for k, vs in EXPANSIONS.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in vs]))])
     named = query_terms(queries)
     extra = F.flatten(F.filter(F.transform("keywords", lambda k: F.try_element_at(table, F.lower(k))), lambda v: v.isNotNull()))
@@ -101,7 +101,7 @@ def expand_queries(queries: DataFrame, limit: int = 3) -> DataFrame:
     texts = F.array(
         X.squeeze(F.col("text")), F.array_join("keywords", " "),
         F.array_join(_first_spellings(F.concat("keywords", "extra")), " "), F.array_join(_first_spellings(F.concat("phrases", "keywords")), " "))
-    return base.select("query_id", F.posexplode(F.slice(_first_spellings(texts), 1, limit)).alias("variant", "search_text"))
+    return base.select("query_id", F.posexplode(_first_spellings(texts)).alias("variant", "search_text"))
 
 
 def multi_queries(queries: DataFrame) -> DataFrame:

@@ -70,7 +70,11 @@ def upsert_papers(incoming: DataFrame, store: DataFrame, id_col: str = "arrival"
     """The store with new papers appended, and ``record, action`` for every incoming one."""
     first = dedup_first(incoming, "identity", id_col)
     known = find_duplicates(first, store, id_col)
-    fresh = first.join(known.select(F.col("record").alias(id_col)), id_col, "left_anti")
+    new = first.join(known.select(F.col("record").alias(id_col)), id_col, "left_anti")
+    # Records of one batch that share an identifier, be it through others, are one paper.
+    shared = identifiers(new, id_col).select("record", F.concat_ws(":", "kind", "value").alias("value"))
+    later = resolve_entities(shared).filter("record <> entity").select(F.col("record").alias(id_col))
+    fresh = new.join(later, id_col, "left_anti")
     merged = store.unionByName(fresh, allowMissingColumns=True)
     made = fresh.select(F.col(id_col).alias("record"), F.lit("created").alias("made"))
     actions = incoming.select(F.col(id_col).alias("record")).join(made, "record", "left").select(
@@ -78,7 +82,7 @@ def upsert_papers(incoming: DataFrame, store: DataFrame, id_col: str = "arrival"
     return merged, actions
 
 
-def resolve_entities(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def resolve_entities(links: DataFrame) -> DataFrame:
     """``record, entity``: records connected through shared identifier values, transitively.
 
     Each round takes the least label over every identifier, then over every record, then jumps
@@ -87,7 +91,7 @@ def resolve_entities(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     pairs = cut_lineage(links.select("record", "value").distinct())
     labels = cut_lineage(pairs.select("record", F.col("record").alias("entity")).distinct())
-    for _ in range(max_rounds):
+    while True:
         per_value = pairs.join(labels, "record").groupBy("value").agg(F.min("entity").alias("entity"))
         per_record = pairs.join(per_value, "value").groupBy("record").agg(F.min("entity").alias("near"))
         hop = labels.select(F.col("record").alias("near"), F.col("entity").alias("far"))
@@ -97,7 +101,6 @@ def resolve_entities(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = fresh
         if not changed:
             return labels
-    raise RuntimeError(f"labels still moving after {max_rounds} rounds")
 
 
 # -- authors ------------------------------------------------------------------------------

@@ -86,7 +86,8 @@ def search_index(queries: DataFrame, posted: DataFrame, stats: DataFrame, k: int
 
 # -- dense ------------------------------------------------------------------------------
 
-MAX_BROADCAST_QUERIES = 8192
+# bytes of a block of query vectors that is sent to all tasks, and of a block of scores in one
+BLOCK_BYTES, SCORE_BYTES = 32 << 20, 64 << 20
 
 
 def _as_matrix(column: pa.Array) -> np.ndarray:
@@ -94,50 +95,69 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _id_type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def _best_of(wanted: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each query's best ``k`` of one batch; equal scores by id."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    rows = max(1, SCORE_BYTES // (16 * max(1, len(ids))))
+    scores, found = [], []
+    for at in range(0, len(wanted), rows):
+        got = np.round(wanted[at:at + rows] @ vectors.T, 6)
+        first = np.argsort(-got, axis=1, kind="stable")[:, :k]
+        scores.append(np.take_along_axis(got, first, 1))
+        found.append(ids[first])
+    return np.concatenate(scores), np.concatenate(found)
+
+
 def _block_search(block: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Exact inner products of one bounded block of queries with the whole corpus."""
     sc = corpus.sparkSession.sparkContext
     picked = block.toArrow()
     matrix = _as_matrix(picked.column("vector").combine_chunks())
-    shared = sc.broadcast((picked.column("query_id").to_numpy(), matrix))
+    shared = sc.broadcast((picked.column("query_id").to_pylist(), matrix))
+    q_type, c_type = picked.schema.field("query_id").type, _id_type(corpus, "chunk_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, wanted = shared.value
-        best_s = np.full((len(ids), 0), -np.inf)
-        best_i = np.zeros((len(ids), 0), dtype=np.int64)
+        asked, wanted = shared.value
+        best, kind = None, None
         for part in batches:
-            if not len(ids) or not part.num_rows:
+            if not asked or not part.num_rows:
                 continue
-            cand = np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))
-            got = np.round(wanted @ _as_matrix(part.column(1)).T, 6)
-            s = np.concatenate([best_s, got], axis=1)
-            i = np.concatenate([best_i, cand], axis=1)
-            keep = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-        n = best_s.shape[1]
-        if n:
+            kind = part.column(0).type
+            found = _best_of(wanted, np.array(part.column(0).to_pylist(), dtype=object if pa.types.is_string(kind) else None), _as_matrix(part.column(1)), k)
+            if best is not None:
+                scores, ids = (np.concatenate(x, axis=1) for x in zip(best, found, strict=True))
+                rank = np.unique(ids, return_inverse=True)[1].reshape(ids.shape)
+                keep = np.lexsort((rank, -scores), axis=1)[:, :k]
+                found = np.take_along_axis(scores, keep, 1), np.take_along_axis(ids, keep, 1)
+            best = found
+        if best is not None:
+            n = best[0].shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())],
+                [pa.array([q for q in asked for _ in range(n)], q_type), pa.array(best[1].ravel().tolist(), kind), pa.array(best[0].ravel())],
                 names=["query_id", "chunk_id", "score"],
             )
 
-    return corpus.select("chunk_id", "vector").mapInArrow(run, "query_id long, chunk_id long, score double")
+    return corpus.select("chunk_id", "vector").mapInArrow(run, f"query_id {_id_type(block, 'query_id')}, chunk_id {c_type}, score double")
 
 
 def dense_scores(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataFrame:
-    """Best ``k`` of every partition for every query.
+    """Best ``k`` of every partition for every query. Ids are of any one type.
 
-    ``queries`` are ``query_id, vector`` and ``corpus`` is ``chunk_id, vector``. The number of
-    queries is counted first; above MAX_BROADCAST_QUERIES they are cut into blocks by key and
-    the corpus is read once per block, so no more than one block is ever broadcast.
+    ``queries`` are ``query_id, vector`` and ``corpus`` is ``chunk_id, vector``. The queries are
+    counted first and cut by key into blocks of about BLOCK_BYTES; the corpus is read once per
+    block, and no more than one block is ever broadcast.
     """
     queries = queries.filter(I.valid_vector(F.col("vector"), dim))
     corpus = corpus.filter(I.valid_vector(F.col("vector"), dim))
-    n = queries.count()
-    blocks = max(1, -(-n // (MAX_BROADCAST_QUERIES // 2)) if n > MAX_BROADCAST_QUERIES else 1)
+    blocks = max(1, -(-queries.count() * dim * 8 // BLOCK_BYTES))
     found = None
     for number in range(blocks):
-        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
         part = _block_search(block, corpus, k)
         found = part if found is None else found.unionByName(part)
     return found
@@ -151,11 +171,14 @@ def dense_search(queries: DataFrame, corpus: DataFrame, k: int = 10, dim: int =
 
 
 def dense_search_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, dim: int = 384, tables: int = 32,
-                     planes: int = 6, seed: int = 17) -> DataFrame:
+                     planes: int | None = None, seed: int = 17) -> DataFrame:
     """Approximate top-k by random-hyperplane signatures, exact scores on the candidates.
 
-    Query and chunk meet on (table, signature); every candidate found is scored.
+    Query and chunk meet on (table, signature); every candidate found is scored. The planes of
+    a signature grow with the logarithm of the corpus, by default one bucket to 32 vectors.
     """
+    if planes is None:
+        planes = max(4, int(np.ceil(np.log2(max(1, corpus.count()) / 32))))
     normals = np.random.default_rng(seed).normal(size=(tables * planes, dim))
 
     def signed(df: DataFrame, key: str) -> DataFrame:
@@ -175,7 +198,7 @@ def dense_search_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, dim: in
         return (
             df.select(key, F.col("vector").cast("array<double>").alias("vector"))
             .filter(I.valid_vector(F.col("vector"), dim))
-            .mapInArrow(run, f"{key} long, vector array<double>, codes array<long>")
+            .mapInArrow(run, f"{key} {_id_type(df, key)}, vector array<double>, codes array<long>")
         )
 
     q = signed(queries, "query_id").withColumnRenamed("vector", "qv")
@@ -354,7 +377,7 @@ def model_rerank(candidates: DataFrame, factory: Callable[[], Callable[[list[str
             yield frame[["query_id", "chunk_id"]].assign(score=np.round(np.asarray(made, dtype=float), 6))
 
     scored = candidates.select("query_id", "chunk_id", "query_text", "text").mapInPandas(
-        run, "query_id long, chunk_id long, score double"
+        run, f"query_id {_id_type(candidates, 'query_id')}, chunk_id {_id_type(candidates, 'chunk_id')}, score double"
     )
     return top_k(scored, "query_id", k, *best())
 
@@ -509,7 +532,7 @@ def paper_query_terms(text: Column, stop: list[str]) -> Column:
     useful = F.filter(
         long_enough, lambda t: ~t.isin(*stop) & (~t.rlike("^[0-9]+$") | (F.length(t) == 4))
     )
-    return F.when(F.size(useful) > 0, useful).otherwise(F.slice(long_enough, 1, 8))
+    return F.when(F.size(useful) > 0, useful).otherwise(long_enough)
 
 
 def contains_join(needles: DataFrame, hay: DataFrame, size: int = 4) -> DataFrame:

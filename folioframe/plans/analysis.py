@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioframe.functions import ids
 from folioframe.functions.lexicon import ANSWER_STOP, CLAIM_STOP, GAP_STOP
 from folioframe.operators import evaluate as M
 from folioframe.operators import events as T
@@ -11,6 +12,7 @@ from folioframe.operators import graph as G
 from folioframe.operators import listing as L
 from folioframe.operators import search as S
 from folioframe.operators import trend as R
+from folioframe.operators.resolve import with_identity
 from folioframe.plans import base as B
 from folioframe.plans.evidencing import APOS, SENT, WORDS, quoted
 from folioframe.plans.ingest import sq
@@ -150,14 +152,14 @@ def _(c):
 
 
 cte("ans", f"""SELECT query_id, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, a)) / len(q) END AS r, CASE WHEN len(e) = 0 OR len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, e)) / len(a) END AS c,
-  len(list_filter(q, lambda t: NOT list_contains(a, t)))::INT AS missing_terms FROM (SELECT query_id, {term_sql('question', ANSWER_STOP)} AS q, {term_sql('answer', ANSWER_STOP)} AS a FROM qa) JOIN
+  array_to_string(list_sort(list_filter(q, lambda t: NOT list_contains(a, t))), ' ') AS missing FROM (SELECT query_id, {term_sql('question', ANSWER_STOP)} AS q, {term_sql('answer', ANSWER_STOP)} AS a FROM qa) JOIN
   (SELECT query_id, list_distinct(flatten(list({term_sql('text', ANSWER_STOP)}))) AS e FROM evidence GROUP BY 1) USING (query_id)""", "qa", "evidence")
 
 
 @query("answer_check", """
-SELECT query_id, round(r, 6) AS relevance, round(c, 6) AS completeness, c >= 0.45 AS grounded, missing_terms, r >= 0.45 AND c >= 0.45 AS acceptable FROM ans""", "ans")
+SELECT query_id, round(r, 6) AS relevance, round(c, 6) AS completeness, c >= 0.45 AS grounded, missing, r >= 0.45 AND c >= 0.45 AS acceptable FROM ans""", "ans")
 def _(c):
-    return M.answer_check(B.qa(c), B.evidence(c))
+    return M.answer_check(B.qa(c), B.evidence(c)).withColumn("missing", F.array_join("missing", " "))
 
 
 cte("rcheck", """SELECT query_id, count(*) AS items, count(*) FILTER (relevance >= 0.45) AS usable, round(avg(relevance), 6) AS relevance, avg(relevance) AS m,
@@ -171,14 +173,14 @@ def _(c):
     return M.retrieval_check(c.queries, B.evidence(c))
 
 
-cte("gaps", f"""SELECT query_id, CASE WHEN len(ts) = 0 THEN least(1.0, usable / 3.0) ELSE len(list_filter(ts, lambda t: contains(ctx, t))) / len(ts) END AS cov, len(list_filter(ts, lambda t: NOT contains(ctx, t)))::INT AS missing_terms FROM
+cte("gaps", f"""SELECT query_id, CASE WHEN len(ts) = 0 THEN least(1.0, usable / 3.0) ELSE len(list_filter(ts, lambda t: contains(ctx, t))) / len(ts) END AS cov, array_to_string(list_sort(list_filter(ts, lambda t: NOT contains(ctx, t))), ' ') AS missing FROM
   (SELECT item_id AS query_id, {term_sql('text', GAP_STOP)} AS ts FROM benchmark) JOIN (SELECT query_id, count(*) AS usable, string_agg({sq('lower(text)')}, ' ') AS ctx FROM evidence WHERE relevance >= 0.3 GROUP BY 1) USING (query_id)""", "evidence")
 cte("gap_levels", """SELECT *, CASE WHEN cov >= 0.55 THEN NULL WHEN cov < 0.2 THEN 'critical' WHEN cov < 0.35 THEN 'high' ELSE 'medium' END AS severity FROM gaps""", "gaps")
 
 
-@query("coverage_gaps", "SELECT query_id, round(cov, 6) AS coverage, missing_terms, severity, severity IS NOT NULL AS has_gaps FROM gap_levels", "gap_levels")
+@query("coverage_gaps", "SELECT query_id, round(cov, 6) AS coverage, missing, severity, severity IS NOT NULL AS has_gaps FROM gap_levels", "gap_levels")
 def _(c):
-    return M.coverage_gaps(c.queries, B.evidence(c))
+    return M.coverage_gaps(c.queries, B.evidence(c)).withColumn("missing", F.array_join("missing", " "))
 
 
 cte("critic", """SELECT query_id, round(0.4 * (1 - hallucination) + 0.2 * (0.6 * round(m, 6) + 0.4 * diversity) + 0.25 * (0.55 * round(r, 6) + 0.45 * round(c, 6)) + 0.15 * round(cov, 6), 6) AS score,
@@ -580,9 +582,10 @@ def _stamp(df, *names):
     return df.withColumns({n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in names})
 
 
-@query("stream_ingest", "SELECT DISTINCT event_type, props FROM events")
+@query("stream_ingest", "SELECT identity, min(arrival) AS arrival, arg_min(provider, arrival) AS provider FROM identified GROUP BY 1", "identified")
 def _(c):
-    return ST.drain(ST.stream_ingest(_stream(c), ["event_type", "props"])).select("event_type", "props")
+    feed = c.records_of(ST.read_table(c.spark, c.root, "orders"))
+    return ST.run_ingest(with_identity(feed.withColumn("year", ids.year(F.col("published"))))).select("identity", "arrival", "provider")
 
 
 @query("stream_index", "SELECT term, chunk_id, tf, dl FROM postings", "postings")

@@ -95,7 +95,7 @@ cte("expanded", f"""SELECT query_id, keywords, phrases, text, {FIRST.format('e')
 
 
 @query("expand_queries", f"""
-SELECT query_id, (generate_subscripts(l, 1) - 1)::INT AS variant, unnest(l) AS search_text FROM (SELECT query_id, ({FIRST.format('texts')})[1:3] AS l FROM (
+SELECT query_id, (generate_subscripts(l, 1) - 1)::INT AS variant, unnest(l) AS search_text FROM (SELECT query_id, ({FIRST.format('texts')}) AS l FROM (
   SELECT query_id, list_filter([{sq('text')}, array_to_string(keywords, ' '), array_to_string({FIRST.format('ke')}, ' '), array_to_string({FIRST.format('pk')}, ' ')], lambda x: x <> '') AS texts FROM (
     SELECT *, list_concat(keywords, extra) AS ke, list_concat(phrases, keywords) AS pk FROM expanded)))""", "expanded")
 def _(c):
@@ -187,11 +187,9 @@ def _(c):
 CLEAN_CLAIM = "list_filter(list_transform(" + SENT.format("text") + ", lambda s: regexp_replace(" + sq("s") + ", '[.!?;:]+$', '')), lambda s: length(s) >= 30 AND NOT regexp_matches(lower(s), '^(figure |table |reference |references |http://|https://)'))"
 cte("claim_docs", f"""SELECT query_id, rank, chunk_id, {FIRST.format('cs')} AS cs, round(0.7 * relevance + 0.2 * CASE WHEN length(trim(text)) < 50 THEN 0.5 WHEN length(trim(text)) < 100 THEN 0.75 ELSE 1 END + 0.1, 4) AS confidence
   FROM (SELECT *, {CLEAN_CLAIM} AS cs FROM evidence)""", "evidence")
-cte("claims", """SELECT query_id, (idx - 1)::INT AS claim_index, x.chunk_id, x.claim, x.confidence FROM (SELECT query_id, unnest(acc) AS x, generate_subscripts(acc, 1) AS idx FROM (
-  WITH RECURSIVE r AS (SELECT query_id, rank, list_transform(cs[1:5], lambda c: {'chunk_id': chunk_id, 'confidence': confidence, 'claim': c}) AS acc FROM claim_docs WHERE rank = 1 UNION ALL
-    SELECT d.query_id, d.rank, list_concat(r.acc, list_transform((list_filter(d.cs, lambda c: NOT list_contains(list_transform(r.acc, lambda a: lower(a.claim)), lower(c))))[1:least(5, 50 - len(r.acc))],
-      lambda c: {'chunk_id': d.chunk_id, 'confidence': d.confidence, 'claim': c})) FROM r JOIN claim_docs d ON d.query_id = r.query_id AND d.rank = r.rank + 1)
-  SELECT query_id, arg_max(acc, rank) AS acc FROM r GROUP BY 1))""", "claim_docs")
+cte("claims", """SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank, place) - 1)::INT AS claim_index, chunk_id, claim, confidence FROM (
+  SELECT * FROM (SELECT query_id, rank, chunk_id, confidence, unnest(cs) AS claim, generate_subscripts(cs, 1) AS place FROM claim_docs)
+  QUALIFY row_number() OVER (PARTITION BY query_id, lower(claim) ORDER BY rank, place) = 1)""", "claim_docs")
 
 
 def claims(c):

@@ -128,10 +128,13 @@ class Corpus:
 
     @cached_property
     def records(self) -> DataFrame:
+        return self.records_of(spread(self.table("orders"), "o_orderkey"))
+
+    def records_of(self, orders: DataFrame) -> DataFrame:
         """Two provider feeds describing the same orders under differently written ids."""
         k = F.col("o_orderkey")
         key = k.cast("string")
-        both = spread(self.table("orders"), "o_orderkey").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("feed"))
+        both = orders.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("feed"))
         first = F.col("feed") == 0
         number = F.lpad((k % 100000).cast("string"), 5, "0")
         return both.select(

@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import index as I
 from folioframe.operators.events import health_status
+from folioframe.operators.resolve import dedup_first
 from folioframe.functions.scores import r6
 from folioframe.session import checkpoint_dir
 
 
 def read_table(spark: SparkSession, root: str, name: str, files_per_batch: int = 100) -> DataFrame:
-    """A table's files as a stream, with the schema of the table."""
-    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", files_per_batch).parquet(root)
-    )
+    """A table as a stream, with its schema: one file, or all files of its folder.
+
+    A stream reads folders; a table that is one file is picked from its folder by its name.
+    """
+    path = f"{root}/{name}.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch)
+    if all(file.endswith(f"/{name}.parquet") for file in table.inputFiles()):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    return stream.parquet(path)
 
 
 def events(stream: DataFrame) -> DataFrame:
@@ -46,9 +51,30 @@ def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def stream_ingest(stream: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """First record of every key; a key is remembered until the watermark passes it."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+def stream_ingest(stream: DataFrame, folder: str, key: str = "identity", arrival: str = "arrival") -> None:
+    """Store the first record of every key; a key is never forgotten.
+
+    Each micro-batch is reduced to its first records and compared with what all batches before
+    it have stored. It writes to a folder of its number, and reads only lower numbers, so a
+    batch that runs again after a failure gives the same rows and doubles none.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        first = dedup_first(batch, key, arrival)
+        if number:
+            held = batch.sparkSession.read.parquet(*[f"{folder}/records/batch={n}" for n in range(number)]).select(key)
+            first = first.join(held, first[key].eqNullSafe(held[key]), "left_anti")
+        first.write.mode("overwrite").parquet(f"{folder}/records/batch={number}")
+
+    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def run_ingest(stream: DataFrame, folder: str | None = None, key: str = "identity", arrival: str = "arrival") -> DataFrame:
+    """Ingest all available input and read the stored records."""
+    spark = stream.sparkSession
+    folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    stream_ingest(stream, folder, key, arrival)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/records/batch=*")
 
 
 def stream_health(stream: DataFrame, size: str = "1 day", delay: str = "1 day") -> DataFrame:

@@ -105,10 +105,10 @@ def test_fixed_chunks_refuse_endless_overlap(spark):
 
 def test_semantic_chunks_keep_every_word(spark):
     text = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(n)) + "." for i, n in enumerate((3, 40, 700, 5, 90, 200, 200, 1)))
-    pieces = chunk.semantic_pieces(text, 200, 0, 20)
+    df = spark.createDataFrame([(1, text), (2, " ")], "document_id int, text string")
+    pieces = [r["text"] for r in chunk.semantic_chunks(df, 200, 0, 20).orderBy("chunk_index").collect()]
     assert " ".join(pieces).split() == text.split()
     assert all(int(len(p.split()) * 1.3) <= 260 for p in pieces)
-    df = spark.createDataFrame([(1, text), (2, " ")], "document_id int, text string")
     rows = chunk.semantic_chunks(df, 200, 50, 20).orderBy("chunk_index").collect()
     assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and {r["document_id"] for r in rows} == {1}
 
@@ -170,3 +170,38 @@ def test_empty_text_is_its_own_opening(spark):
 def test_term_boundaries(spark):
     df = spark.createDataFrame([("c++ code", "c++"), ("abc++", "c++"), ("a.b", "a.b"), ("axb", "a.b")], "t string, w string")
     assert [r[0] for r in df.select(X.has_term(F.col("t"), F.col("w"))).collect()] == [True, False, True, False]
+
+
+def test_semantic_chunks_overlap_windows_and_small_pieces(spark):
+    text = "a b c. d e f. g h i. j k l m n o p q r s t u v w x y z. one. two."
+    rows = chunk.semantic_chunks(spark.createDataFrame([("x", text)], "document_id string, text string"), 8, 4, 2).orderBy("chunk_index").collect()
+    assert [r["text"] for r in rows] == [
+        "a b c. d e f.", "d e f. g h i.", "j k l m n o p q", "r s t u v w x y", "z.", "one. two."]
+
+
+def test_records_of_one_batch_meet_on_weak_ids(spark):
+    from folioframe.operators import resolve
+
+    columns = "arrival long, provider string, provider_id string, doi string, arxiv_id string, pmid string, title string, published string"
+    rows = [(1, "crossref", "a", "10.1/x", "2101.00001", None, "T", "2020"), (2, "crossref", "b", "10.1/y", "2101.00001", None, "T", "2020"),
+            (3, "crossref", "c", "10.1/z", None, "77", "U", "2020"), (4, "crossref", "d", "10.1/w", None, None, "V", "2020")]
+    batch = resolve.with_identity(spark.createDataFrame(rows, columns).withColumn("year", F.lit(2020)))
+    store = batch.filter("arrival = 3").withColumn("arrival", F.lit(100).cast("long")).withColumn("doi", F.lit(None).cast("string"))
+    merged, actions = resolve.upsert_papers(batch, store.limit(0))
+    assert {r["record"]: r["action"] for r in actions.collect()} == {1: "created", 2: "duplicate", 3: "created", 4: "created"}
+    assert {r["record"]: r["action"] for r in resolve.upsert_papers(batch, store)[1].collect()} == {1: "created", 2: "duplicate", 3: "duplicate", 4: "created"}
+    assert merged.count() == 3
+
+
+def test_search_takes_ids_of_any_type(spark):
+    from folioframe.operators import search
+
+    texts = [(i, f"w{i} w{i % 7} common words here w{i % 3}") for i in range(40)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string").withColumn("metadata", F.create_map(F.lit("a"), F.lit("b")))
+    queries = spark.createDataFrame([(1, "w3 common"), (2, "w5 w2 words")], "query_id long, text string")
+    named = chunks.withColumn("chunk_id", F.format_string("c%03d", "chunk_id"))
+    asked = queries.withColumn("query_id", F.format_string("q%d", "query_id"))
+    plain = search.hybrid_search(queries, chunks, 5).collect()
+    other = search.hybrid_search(asked, named, 5).collect()
+    assert {(f"q{r.query_id}", f"c{r.chunk_id:03d}", r["rank"], r.rerank_score) for r in plain} == {
+        (r.query_id, r.chunk_id, r["rank"], r.rerank_score) for r in other}

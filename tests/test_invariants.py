@@ -100,7 +100,7 @@ def test_stored_index_and_blocks_give_the_same(spark, monkeypatch):
     b = search.bm25_search(c.queries, c.chunks, 5).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     whole = sorted(map(tuple, search.dense_search(c.centroids, c.vectors, 5, 64).collect()))
-    monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", 4)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 4 * 64 * 8)
     assert sorted(map(tuple, search.dense_search(c.centroids, c.vectors, 5, 64).collect())) == whole
 
 
@@ -134,3 +134,26 @@ def test_late_rows_and_restart(spark, tmp_path):
     write("b", [(3, day(1), 1, "view", 1.0, ""), (4, day(5), 1, "view", 1.0, ""), (5, day(9), 2, "view", 1.0, "")])
     # the row of day 1 came behind the watermark and is dropped; day 5 holds rows of both runs
     assert drained() == {(1, 1): 1, (5, 1): 2}
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from folioframe.operators import resolve
+    from folioframe.functions import ids
+    from folioframe.sources.tables import Corpus
+    from tests.conftest import ROOT
+
+    spark.read.parquet(f"{ROOT}/events.parquet").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    got = streams.drain(streams.read_table(spark, str(tmp_path), "events", 2))
+    assert got.count() == spark.read.parquet(f"{ROOT}/events.parquet").count()
+    orders = spark.read.parquet(f"{ROOT}/orders.parquet").withColumn("o_orderkey", F.pmod("o_orderkey", F.lit(90)))
+    c = Corpus(spark, str(tmp_path))
+    marked = lambda df: resolve.with_identity(c.records_of(df).withColumn("year", ids.year(F.col("published"))))
+    for part in range(4):
+        if part == 2:
+            half = streams.run_ingest(marked(streams.read_table(spark, str(tmp_path), "orders", 1)), str(tmp_path / "store"))
+            assert half.count() > 0
+        orders.filter(F.floor(F.col("o_orderkey") / 23) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
+    found = streams.run_ingest(marked(streams.read_table(spark, str(tmp_path), "orders", 1)), str(tmp_path / "store"))
+    whole = resolve.dedup_first(marked(spark.read.parquet(str(tmp_path / "orders.parquet"))))
+    pick = lambda df: sorted(tuple(r) for r in df.select("identity", "arrival").collect())
+    assert pick(found) == pick(whole)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.common import components, stored
@@ -23,6 +23,8 @@ PIECE = 4096
 # The pipeline's near copies: sets of five-word shingles with a similarity of 0.8 or more, which
 # mostly differ in more than three bits of 64. MINS rows to each of SLOTS keys let 99.9 % meet.
 WIDE, SIMILAR, MINS, SLOTS = 5, 0.8, 6, 24
+# Bits that copies may differ in at most, and the share of equal min-hashes they have at least.
+FAR, LIKELY, PARTNERS = 31, 0.7, 3
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -252,8 +254,9 @@ _RANDOM = np.random.default_rng(SEED).integers(1 << 63, size=(2, MINS * SLOTS),
 _TIMES, _PLUS = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1]
 
 
-def sketch(text: str | None) -> tuple[int, int, list[int]]:
-    """SimHash of the five-word shingles, a hash of their set, and the set's min-hash keys."""
+def sketch(text: str | None) -> tuple[int, int, list[int], bytes]:
+    """SimHash of the five-word shingles, a hash of their set, the set's min-hash keys, and a
+    byte of each min-hash, by whose agreement similarity is estimated."""
     hashes = shingle_hashes(text, WIDE)
     distinct = np.unique(hashes)
     least = np.full(MINS * SLOTS, np.iinfo(np.uint64).max, np.uint64)
@@ -262,14 +265,16 @@ def sketch(text: str | None) -> tuple[int, int, list[int]]:
     rows = least.reshape(SLOTS, MINS)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), slot) for slot, row in enumerate(rows)] if len(distinct) else []
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return folded(hashes), signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)), list(map(signed, keys))
+    return (
+        folded(hashes), signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)), list(map(signed, keys)),
+        (least % np.uint64(251)).astype(np.uint8).tobytes())
 
 
 def sketches(text: Column) -> Column:
-    @F.pandas_udf("struct<fp: long, content: long, keys: array<long>>")
+    @F.pandas_udf("struct<fp: long, content: long, keys: array<long>, sign: binary>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([sketch(t) for t in texts], columns=["fp", "content", "keys"])
+            yield pd.DataFrame([sketch(t) for t in texts], columns=["fp", "content", "keys", "sign"])
 
     return of(text)
 
@@ -299,43 +304,88 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return told.filter(F.col("_alike") >= least).select("a", "b")
 
 
-def similar_links(buckets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``a, b``: similar texts among those that share a key of ``buckets(key, id)``.
+def partners(group: np.ndarray, block: np.ndarray, own: np.ndarray, values: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each lane the likeliest copies among those before and those behind it in its group.
 
-    In each bucket all ids are compared with the first. Those unlike it go on to the next
-    round, where each is compared with the first four of them, then sixteen and so on, until
-    each has met a similar one or all before it. A bucket of copies takes one comparison each.
+    SimHash distances are compared bit-sliced; pairs within FAR bits are judged by how many
+    min-hashes agree, and from LIKELY on the best PARTNERS of either side are proposed. So a
+    lane gives few pairs, however large its group.
     """
-    found, leaders = None, 1
-    while True:
-        if leaders == 1:
-            first = stored(
-                buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies-first")
-            ranked = buckets.join(first, "key")
-            met = ranked.filter("id <> lead").select("key", "id", "lead")
-        else:
-            order = Window.partitionBy("key").orderBy("id")
-            ranked = stored(buckets.withColumn("at", F.row_number().over(order)), "copies-ranked")
-            first = ranked.filter(F.col("at") <= leaders).select("key", F.col("id").alias("lead"), F.col("at").alias("before"))
-            met = ranked.join(first, "key").filter("before < at").select("key", "id", "lead")
-        met = stored(met, "copies-met")
-        alike = stored(verified(met.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), texts, least), "copies-alike")
-        found = alike if found is None else found.union(alike)
-        settled = met.join(alike, (met.id == alike.a) & (met.lead == alike.b), "left_semi").select("key", "id").distinct()
-        rest = (met.select("key", "id").distinct() if leaders == 1 else ranked.filter(F.col("at") > leaders).select("key", "id"))
-        buckets = stored(rest.join(settled, ["key", "id"], "left_anti"), "copies-rest")
-        if buckets.isEmpty():
-            return found
-        leaders *= 4
+    n = len(values)
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    largest = int(np.diff(edges).max()) if n else 0
+    planes = bit_planes(values, 2 + largest // 64)
+    best, partner = np.full((2, PARTNERS, n), LIKELY), np.full((2, PARTNERS, n), -1)
+    for step in range(1, largest):
+        wanted = (group[step:] == group[:-step]) & (own[step:] | (block[step:] != block[:-step]))
+        if not wanted.any():
+            continue
+        lane = within(planes, step, wanted, FAR)
+        alike = (signs[lane] == signs[lane + step]).mean(axis=1)
+        for side, (one, other) in enumerate(((lane + step, lane), (lane, lane + step))):
+            seat = best[side][:, one].argmin(axis=0)
+            better = alike > best[side, seat, one]
+            best[side, seat[better], one[better]] = alike[better]
+            partner[side, seat[better], one[better]] = other[better]
+    side, seat, lane = np.nonzero(partner >= 0)
+    return lane, partner[side, seat, lane]
+
+
+def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of likely copies in the groups of a sorted partition, groups whole, in pieces."""
+    names = ("key", "i", "j", "block", "fp", "id")
+
+    def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        part = {x: rows[x].to_numpy().astype(np.int64) for x in names}
+        signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(len(rows), -1)
+        fresh = np.zeros(len(rows), bool)
+        fresh[1:] = np.any([part[x][1:] != part[x][:-1] for x in ("key", "i", "j")], axis=0)
+        one, other = partners(np.cumsum(fresh), part["block"], part["i"] == part["j"], part["fp"].view(np.uint64), signs)
+        ids = part["id"]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.maximum(ids[one], ids[other])), pa.array(np.minimum(ids[one], ids[other]))], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(x).to_numpy() for x in ("key", "i", "j")]
+        same = np.all([k == k[-1] for k in keys], axis=0)
+        start = 0 if same.all() else batch.num_rows - int(same[::-1].argmin())
+        if start or (held and any(held[-1].column(x)[-1].as_py() != int(k[0]) for x, k in zip(("key", "i", "j"), keys, strict=True))):
+            yield pairs([*held, batch.slice(0, start)] if start else held)
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pairs(held)
+
+
+def likely_pairs(sets: DataFrame) -> DataFrame:
+    """``a, b``: pairs of ``sets(id, fp, keys, sign)`` that may be near copies, a few for each.
+
+    Sets meet where a min-hash key is equal. A key with more than BLOCK sets is dealt to
+    blocks, and each pair of blocks is compared by a task of its own.
+    """
+    keyed = sets.select(F.explode("keys").alias("key"), "id")
+    counts = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "copies-keys")
+    met = (
+        sets.select(F.explode("keys").alias("key"), "id", "fp", "sign").join(counts, "key")
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        .select("key", "id", "fp", "sign", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "id", "sign")
+    )
+    dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return dealt.mapInArrow(proposed, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``docs`` with one row, that of the smallest id, of each group of near copies.
 
     Texts are near copies if their sets of five-word shingles have a similarity of ``least`` or
-    more; groups are closed under it. Candidates are linked SimHash fingerprints and, since at
-    this similarity fingerprints differ in more bits than any table of them can afford, equal
-    min-hash keys; whole texts decide. Texts without words are copies of each other, as are
+    more; groups are closed under the links found. Candidates are linked SimHash fingerprints
+    and, since at this similarity fingerprints differ in more bits than any table of them can
+    afford, the likeliest partners under equal min-hash keys; whole texts decide. Texts without words are copies of each other, as are
     rows that repeat an id. Rows without id go by their text, behind all ids.
     """
     ship_package(docs.sparkSession)
@@ -343,12 +393,14 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     keyed = docs.withColumn("_llm_key", F.coalesce(F.col("doc_id").cast("long"), by_text))
     marked = stored(keyed.select(F.col("_llm_key").alias("id"), sketches(F.col("text")).alias("s")).select("id", "s.*"), "copies-marks")
     sets = stored(
-        marked.groupBy("content").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "copies-sets")
+        marked.groupBy("content").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sign").alias("sign")),
+        "copies-sets")
     values = stored(sets.groupBy("fp").agg(F.min("id").alias("id")), "copies-values")
-    roots = components(stored(links(values.select("fp")), "copies-near"), "copies-near")
-    near = sets.join(roots, sets.fp == roots.v, "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "id")
-    buckets = stored(near.union(sets.select(F.explode("keys").alias("key"), "id")), "copies-buckets")
-    alike = similar_links(buckets, keyed.select(F.col("_llm_key").alias("id"), "text"), least)
+    one, other = (values.select(F.col("fp").alias(x), F.col("id").alias(f"id_{x}")) for x in ("a", "b"))
+    near = links(values.select("fp")).join(one, "a").join(other, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    same = sets.join(values.withColumnRenamed("id", "b"), "fp").filter("id <> b").select(F.col("id").alias("a"), "b")
+    pairs = stored(likely_pairs(sets).union(near).union(same).distinct(), "copies-pairs")
+    alike = stored(verified(pairs, keyed.select(F.col("_llm_key").alias("id"), "text"), least), "copies-alike")
     joined = components(alike.union(
         marked.join(sets.select("content", F.col("id").alias("first")), "content").filter("id <> first").select(F.col("id"), F.col("first"))),
         "copies-groups")

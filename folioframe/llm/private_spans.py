@@ -275,7 +275,7 @@ def find(docs: DataFrame, model: Model | None = None, certain: float = CERTAIN)
 
     ``spans`` lists kind:start:end, in code points, end exclusive: base spans and those that
     the classifier gives a probability of ``certain`` or more, if at least two more labelers
-    confirm than deny them. A null or empty text has none:
+    confirm than deny them and one of check and context does. A null or empty text has none:
     counts 0, the digest of the empty string, an empty list. Repeated rows are judged alike.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -291,7 +291,8 @@ def find(docs: DataFrame, model: Model | None = None, certain: float = CERTAIN)
 
     def backed(c: Column) -> Column:
         marks = lambda v: F.length(F.regexp_replace(c["votes"], f"[^{v}]", ""))
-        return marks("y") >= marks("n") + 2
+        vouched = F.substring(c["votes"], 2, 1).isin("y") | F.substring(c["votes"], 4, 1).isin("y")
+        return (marks("y") >= marks("n") + 2) & vouched
 
     def listed(found: Column) -> Column:
         names = F.array(*map(F.lit, KINDS))

@@ -9,6 +9,7 @@ wants a few documents reads the table and then only their frames.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -32,21 +33,41 @@ from folioframe.session import ship_package
 SKIPPABLE, TABLE, FOOTER, CHECKED = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)
 LEVEL = 3
-TOGETHER, REMEMBERED = 256, 500_000
+TOGETHER, REMEMBERED = 256, 400_000
 STOPS = (".", ",")
 ENCODED = "doc_id long, n_tokens long, plain long, checksum long, frame binary"
 WRITTEN = "part long, path string, documents long, tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, path string, frame long"
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints,
+    else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip([*shown, *sorted(set(range(256)) - set(shown))], [*shown, *range(256, 324)], strict=True))
+
+
+def cuts_at_spaces(vocabulary: str) -> bool:
+    """Whether a vocabulary lowers letters one by one, drops white space and takes runs of
+    letters whole, so that no rule of it looks across a space."""
+    with open(vocabulary, encoding="utf-8") as file:
+        rules = json.load(file)
+    steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+    split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return (
+        steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+        and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["add_prefix_space"]
+        and "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in split[0]["pattern"].get("Regex", ""))
+
+
 class Encoder:
-    """Ids of whole texts, white-space separated pieces at a time.
+    """Ids of whole texts.
 
-    The vocabulary's rules never look across a space: its normaliser composes characters and
-    lowers them one by one, and its pattern drops white space. So a text's ids are those of
-    its pieces in a row, and pieces that come again are not encoded again. A single stop or
-    comma behind a letter or digit is a token of its own. Pieces are remembered in two
-    generations of bounded size; those in use move on to the next.
+    Where the vocabulary's rules never look across a space, a text's ids are those of its
+    pieces in a row, and pieces that come again are not encoded again: a single stop or comma
+    behind a letter or digit is a token of its own, and a piece of small Latin letters alone
+    goes to the model as it is. Pieces are remembered in two generations of bounded size;
+    those in use move on to the next. Other vocabularies encode each text as a whole.
     """
 
     def __init__(self, vocabulary: str, end_id: int):
@@ -54,17 +75,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.by_piece = cuts_at_spaces(vocabulary)
+        self.letters = byte_letters()
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}
 
+    def letters_only(self, piece: str) -> str | None:
+        """A piece of small Latin letters as the model sees it."""
+        if not (piece.isalpha() and piece.islower() and latin(piece)):
+            return None
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+
     def learn(self, pieces: set[str]) -> None:
         """Make sure that all of ``pieces`` are known."""
-        known, former = self.known, self.former
+        known, former, tokenize = self.known, self.former, self.tokenizer.model.tokenize
         fresh = []
         for piece in pieces:
             if (data := former.get(piece)) is not None:
                 known[piece] = data
+            elif (word := self.letters_only(piece)) is not None:
+                ids = [token.id for token in tokenize(word)]
+                known[piece] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 fresh.append(piece)
         if fresh:
@@ -73,22 +105,36 @@ class Encoder:
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids with the end id, as bytes."""
+        if not self.by_piece:
+            whole = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, "<u4").tobytes() + self.end for x in whole]
         if len(self.known) > REMEMBERED:
             self.former, self.known = self.known, {}
         pieces = [lowered(t).replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
         fresh = set().union(*pieces).difference(known)
-        ended = {p for p in fresh if p[-1:] in STOPS and p[-2:-1].isascii() and p[-2:-1].isalnum()}
+        ended = {p for p in fresh if p[-1:] in STOPS and p[-2:-1].isalnum() and latin(p[-2])}
         self.learn((fresh - ended | {p[:-1] for p in ended} | set(STOPS)).difference(known))
         for piece in ended:
             known[piece] = known[piece[:-1]] + known[piece[-1]]
         return [b"".join(map(known.__getitem__, own)) + self.end for own in pieces]
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are below 256; these are composed, and lower alike everywhere."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def lowered(text: str) -> str:
-    """An ASCII text in lower case, as the vocabulary has it anyway, unless that could make a
+    """A Latin text in lower case, as the vocabulary has it anyway, unless that could make a
     special token of it."""
-    return text.lower() if text.isascii() and "<|" not in text else text
+    return text.lower() if "<|" not in text and latin(text) else text
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

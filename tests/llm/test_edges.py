@@ -97,7 +97,7 @@ def test_op2_pieces_give_the_ids_of_whole_texts():
 
     rng = random.Random(2)
     parts = ["a", "It's", "'S", "é", "́", " ", "  ", "\n", "\t", " ", " ", "\x1c", "<|endoftext|>", "<|startoftext|>x", "😀", "İ", "ΑΣ", "ß",
-             "12", "!!", "한", "가", "\x00", "x</w>", "Ⅷ", "ﬁ", "\u0085", "​"]
+             "12", "!!", "한", "가", "\x00", "x</w>", "Ⅷ", "ﬁ", "\u0085", "ÀÉß", "ñandú.", "x²,", "ª.", "µm", "Ÿ", "​"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
     whole = Tokenizer.from_file(tokenizer_file())
     found = token_frames.Encoder(tokenizer_file(), 1).of(texts)
@@ -105,6 +105,16 @@ def test_op2_pieces_give_the_ids_of_whole_texts():
         assert np.frombuffer(data, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
+def test_op2_other_vocabularies_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    assert token_frames.cuts_at_spaces(tokenizer_file()) and not token_frames.cuts_at_spaces(tokenizer_file("byte_bpe_50k.json"))
+    texts = ["Two  spaces, and\nlines.", "", None]
+    whole = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    for text, data in zip(texts, token_frames.Encoder(tokenizer_file("byte_bpe_50k.json"), 1).of(texts), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+
+
 def test_op2_damage_is_noticed(tmp_path):
     import zstandard
 

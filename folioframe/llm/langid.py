@@ -90,7 +90,7 @@ def frequencies(rows: pd.DataFrame, langs: list[str], by_length: bool) -> tuple[
     return at, logs.astype(np.float32)
 
 
-def train(docs: DataFrame, per_language: int = 2_000, vocabulary: int = 50_000) -> Model:
+def train(docs: DataFrame, per_language: int = 2_000, vocabulary: int = 30_000) -> Model:
     """A model from ``docs(doc_id, text, lang)``; rows without a language are left out.
 
     Fitted on a bounded sample of labelled rows: of each language about ``per_language``

@@ -31,11 +31,10 @@ OPENINGS = ("What is the method of", "Compare rag vs bm25:", "Explain why", "rec
 def _asked(c):
     k = F.col("query_id")
     opening = F.get(F.array(*[F.lit(o) for o in OPENINGS]), (k % len(OPENINGS)).cast("int"))
-    text = F.when(k % 4 == 0, opening).otherwise(F.concat(opening, F.lit(" "), "text"))
-    return c.questions.select("query_id", text.alias("text"))
+    return c.questions.select("query_id", F.concat(opening, F.lit(" "), "text").alias("text"))
 
 
-cte("asked", f"""SELECT query_id, CASE WHEN query_id % 4 = 0 THEN o ELSE o || ' ' || text END AS text FROM (
+cte("asked", f"""SELECT query_id, o || ' ' || text AS text FROM (
   SELECT conv_id * 1000 + turn AS query_id, text, [{quoted(OPENINGS)}][(conv_id * 1000 + turn) % {len(OPENINGS)} + 1] AS o FROM conversations WHERE role = 'user')""")
 
 

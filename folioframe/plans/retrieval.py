@@ -273,7 +273,7 @@ def rerank_ctes(prefix: str, source: str, needs: tuple[str, ...]) -> None:
       FROM {p}_parts LEFT JOIN {p}_lex USING (query_id, chunk_id)""", f"{p}_parts", f"{p}_lex")
 
 
-rerank_ctes("ev", """SELECT query_id, chunk_id, b.text AS query_text, e.text, e.lang || ' ' || e.source || ' of the ' || substr(b.text, 1, 40) AS meta_text, relevance AS score
+rerank_ctes("ev", """SELECT query_id, chunk_id, b.text AS query_text, e.text, e.lang || ' ' || e.source || ' of the ' || b.text AS meta_text, relevance AS score
   FROM evidence e JOIN benchmark b ON b.item_id = e.query_id""", ("evidence",))
 rerank_ctes("hy", """SELECT query_id, chunk_id, b.text AS query_text, d.text, '' AS meta_text, score
   FROM rrf JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = chunk_id""", ("rrf",))
@@ -281,7 +281,7 @@ rerank_ctes("hy", """SELECT query_id, chunk_id, b.text AS query_text, d.text, ''
 
 @query("lexical_rerank", "SELECT * FROM ev_reranked", "ev_reranked")
 def _(c):
-    meta = F.concat("lang", F.lit(" "), "source", F.lit(" of the "), F.substring("query_text", 1, 40))
+    meta = F.concat("lang", F.lit(" "), "source", F.lit(" of the "), "query_text")
     e = B.evidence(c).drop("score", "rank").withColumnRenamed("relevance", "score").join(
         c.queries.select("query_id", F.col("text").alias("query_text")), "query_id").withColumn("meta_text", meta)
     return S.lexical_rerank(e)

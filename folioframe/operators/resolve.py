@@ -169,11 +169,12 @@ def _prefix_length(n: Column, t: float) -> Column:
     return (n - F.ceil(n * t - 1e-9) + 1).cast("int")
 
 
-def rare_first(sets: DataFrame, keys: list[str]) -> DataFrame:
-    """Token sets with tokens ordered from rare to common over all sets."""
+def rare_first(sets: DataFrame, keys: list[str], group: list[str] | None = None) -> DataFrame:
+    """Token sets with tokens ordered from rare to common over all sets, or those of a group."""
     flat = sets.select(*keys, F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
-    df = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = flat.join(df, "token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    near = [*(group or []), "token"]
+    df = flat.groupBy(*near).agg(F.count(F.lit(1)).alias("df"))
+    ordered = flat.join(df, near).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     return ordered.select(*keys, F.col("o.token").alias("tokens"), F.size("o").alias("n"))
 
 
@@ -286,9 +287,16 @@ def _settle_pairs(open_sigs: DataFrame, sets: DataFrame, threshold: float) -> Da
 
 
 def fold_sets(rows: DataFrame, group: list[str], id_col: str, tokens: Column) -> DataFrame:
-    """Rows with equal token sets in a group folded into one: least id and number of copies."""
+    """Rows with equal token sets in a group folded into one: least id and number of copies.
+
+    Tokens come rarest of the group first, so that sets meet on few tokens.
+    """
     flat = rows.select(*group, F.col(id_col).alias("id"), F.array_sort(tokens).alias("tokens"))
-    return flat.groupBy(*group, "tokens").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("n", F.size("tokens"))
+    folded = flat.groupBy(*group, "tokens").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    keys = [*group, "id"]
+    ordered = rare_first(folded, keys, group)
+    return folded.drop("tokens").join(ordered, keys, "left").withColumns(
+        {"tokens": F.coalesce("tokens", F.array().cast("array<string>")), "n": F.coalesce("n", F.lit(0))})
 
 
 def pairwise_jaccard(rows: DataFrame, threshold: float = 0.9, group: str = "query_id", id_col: str = "chunk_id") -> DataFrame:

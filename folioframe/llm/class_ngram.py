@@ -25,7 +25,7 @@ from folioframe.session import ship_package
 FREQUENT, OWN, POOLS, CLASSES, ROUNDS = 131_072, 16_384, 4_096, 64, 10
 UNITS, END_UNIT, END_CLASS = OWN + POOLS + 1, OWN + POOLS, CLASSES - 1
 END, SPAN = b"", 256
-TOGETHER, GATHERED, HELD = 256, 4_000_000, 300_000
+TOGETHER, GATHERED, HELD, PARTS = 256, 4_000_000, 300_000, 64
 STEPS = 8
 
 
@@ -133,6 +133,7 @@ def unit_pairs(docs: DataFrame, words: Vocabulary) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        part = TaskContext.get().partitionId() % PARTS
 
         def blocks() -> Iterator[pa.RecordBatch]:
             codes, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -146,8 +147,8 @@ def unit_pairs(docs: DataFrame, words: Vocabulary) -> DataFrame:
                 rows = [(int(ranges[a]), side, packed((own[a:b] % SPAN) * UNITS + other[a:b], times[a:b]))
                         for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                    names=["range", "side", "data"])
+                    [*(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)),
+                     pa.array([part] * len(rows), pa.int32())], names=["range", "side", "data", "part"])
 
         gathered = 0
         for batch in batches:
@@ -163,34 +164,31 @@ def unit_pairs(docs: DataFrame, words: Vocabulary) -> DataFrame:
             yield from blocks()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, sides, now = np.zeros(SPAN * UNITS, np.int64), [b"", b""], None
+        matrix, now = np.zeros(SPAN * UNITS, np.int64), None
 
-        def close(side: int) -> None:
+        def total() -> pa.RecordBatch:
             codes = np.flatnonzero(matrix)
-            sides[side] = packed(codes, matrix[codes])
+            data = packed(codes, matrix[codes])
             matrix[codes] = 0
-
-        def row() -> pa.RecordBatch:
-            data = [pa.array([now[0]], pa.int32()), *(pa.array([x or packed(np.zeros(0, int), np.zeros(0, int))], pa.binary()) for x in sides)]
-            sides[:] = [b"", b""]
-            return pa.RecordBatch.from_arrays(data, names=["range", "after", "before"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([data], pa.binary())], names=["range", "side", "data"])
 
         for batch in batches:
-            for key in zip(*(batch.column(x).to_pylist() for x in ("range", "side", "data")), strict=True):
-                if now and key[:2] != now:
-                    close(now[1])
-                    if key[0] != now[0]:
-                        yield row()
-                now = key[:2]
-                codes, counts = unpacked(key[2])
+            for number, side, data in zip(*(batch.column(x).to_pylist() for x in ("range", "side", "data")), strict=True):
+                if now and (number, side) != now:
+                    yield total()
+                now = number, side
+                codes, counts = unpacked(data)
                 matrix[codes] += counts
         if now:
-            close(now[1])
-            yield row()
-
-    parts = docs.select("text").mapInArrow(sums, schema)
-    dealt = parts.repartition("range").sortWithinPartitions("range", "side")
-    return stored(dealt.mapInArrow(merged, "range int, after binary, before binary"), "class-pairs")
+            yield total()
+
+    parts = docs.select("text").mapInArrow(sums, f"{schema}, part int")
+    # First by parts of a range, so that many tasks share the work, then by range.
+    some = parts.repartition("range", "part").sortWithinPartitions("range", "side").mapInArrow(merged, schema)
+    whole = some.repartition("range").sortWithinPartitions("range", "side").mapInArrow(merged, schema)
+    of_side = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("data"))), F.lit(packed(np.zeros(0, int), np.zeros(0, int))))
+    return stored(whole.groupBy("range").agg(of_side(0).alias("after"), of_side(1).alias("before")), "class-pairs")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:

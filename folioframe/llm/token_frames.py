@@ -279,7 +279,8 @@ def read_all(manifest: DataFrame) -> DataFrame:
                         pa.array([path] * len(frames)), pa.array(list(frames), pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32", "path", "frame"])
 
-    return placed.repartition("part").mapInArrow(documents, READ)
+    # A row is few bytes but a whole file to read: a task each, not as many as their bytes ask for.
+    return placed.repartition(max(1, manifest.count()), "part").mapInArrow(documents, READ)
 
 
 def read_some(listing: DataFrame) -> DataFrame:
@@ -297,7 +298,8 @@ def read_some(listing: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    dealt = listing.select("doc_id", "path", "frame").repartition("path").sortWithinPartitions("path", "frame")
+    tasks = int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listing.select("doc_id", "path", "frame").repartition(tasks, "path").sortWithinPartitions("path", "frame")
     return dealt.mapInArrow(ids, "doc_id long, ids array<long>")
 
 

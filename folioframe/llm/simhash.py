@@ -23,8 +23,11 @@ PIECE = 4096
 # The pipeline's near copies: sets of five-word shingles with a similarity of 0.8 or more, which
 # mostly differ in more than three bits of 64. MINS rows to each of SLOTS keys let 99.9 % meet.
 WIDE, SIMILAR, MINS, SLOTS = 5, 0.8, 6, 24
-# Bits that copies may differ in at most, and the share of equal min-hashes they have at least.
+# Bits that copies may differ in at most, and the share of equal min-hashes they have at least;
+# how many likely copies on either side are compared before the rest is compared in blocks.
 FAR, LIKELY, PARTNERS = 31, 0.7, 3
+# Shingles that count as one set of a block, and columns of a matrix of sets.
+HEAVY, COLUMNS = 8192, 8192
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -304,31 +307,37 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return told.filter(F.col("_alike") >= least).select("a", "b")
 
 
-def partners(group: np.ndarray, block: np.ndarray, own: np.ndarray, values: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def partners(group: np.ndarray, block: np.ndarray, own: np.ndarray, values: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each lane the likeliest copies among those before and those behind it in its group.
 
     SimHash distances are compared bit-sliced; pairs within FAR bits are judged by how many
     min-hashes agree, and from LIKELY on the best PARTNERS of either side are proposed. So a
-    lane gives few pairs, however large its group.
+    lane gives few pairs, however large its group. Behind them, marked false, comes each lane
+    with the first of those that a chain of likely pairs connects it with.
     """
     n = len(values)
     edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
     largest = int(np.diff(edges).max()) if n else 0
     planes = bit_planes(values, 2 + largest // 64)
     best, partner = np.full((2, PARTNERS, n), LIKELY), np.full((2, PARTNERS, n), -1)
+    root = np.arange(n)
     for step in range(1, largest):
         wanted = (group[step:] == group[:-step]) & (own[step:] | (block[step:] != block[:-step]))
         if not wanted.any():
             continue
         lane = within(planes, step, wanted, FAR)
         alike = (signs[lane] == signs[lane + step]).mean(axis=1)
+        likely = lane[alike >= LIKELY]
+        united(root, likely, likely + step)
         for side, (one, other) in enumerate(((lane + step, lane), (lane, lane + step))):
             seat = best[side][:, one].argmin(axis=0)
             better = alike > best[side, seat, one]
             best[side, seat[better], one[better]] = alike[better]
             partner[side, seat[better], one[better]] = other[better]
     side, seat, lane = np.nonzero(partner >= 0)
-    return lane, partner[side, seat, lane]
+    moved = np.flatnonzero(root != np.arange(n))
+    chosen = np.arange(len(lane) + len(moved)) < len(lane)
+    return np.concatenate((lane, moved)), np.concatenate((partner[side, seat, lane], root[moved])), chosen
 
 
 def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,10 +350,11 @@ def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(len(rows), -1)
         fresh = np.zeros(len(rows), bool)
         fresh[1:] = np.any([part[x][1:] != part[x][:-1] for x in ("key", "i", "j")], axis=0)
-        one, other = partners(np.cumsum(fresh), part["block"], part["i"] == part["j"], part["fp"].view(np.uint64), signs)
+        one, other, chosen = partners(np.cumsum(fresh), part["block"], part["i"] == part["j"], part["fp"].view(np.uint64), signs)
         ids = part["id"]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.maximum(ids[one], ids[other])), pa.array(np.minimum(ids[one], ids[other]))], names=["a", "b"])
+            [pa.array(np.maximum(ids[one], ids[other])), pa.array(np.minimum(ids[one], ids[other])), pa.array(chosen)],
+            names=["a", "b", "chosen"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -362,7 +372,8 @@ def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def likely_pairs(sets: DataFrame) -> DataFrame:
-    """``a, b``: pairs of ``sets(id, fp, keys, sign)`` that may be near copies, a few for each.
+    """``a, b, chosen``: pairs of ``sets(id, fp, keys, sign)`` that may be near copies, a few for
+    each, and pairs not chosen that keep every connection by likely pairs.
 
     Sets meet where a min-hash key is equal. A key with more than BLOCK sets is dealt to
     blocks, and each pair of blocks is compared by a task of its own.
@@ -376,7 +387,82 @@ def likely_pairs(sets: DataFrame) -> DataFrame:
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "id", "sign")
     )
     dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return dealt.mapInArrow(proposed, "a long, b long").distinct()
+    return dealt.mapInArrow(proposed, "a long, b long, chosen boolean").distinct()
+
+
+def gram_sets(text: Column) -> Column:
+    """The sorted set of five-word shingle hashes as bytes."""
+    @F.pandas_udf("binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, WIDE)).tobytes() for t in texts], dtype=object)
+
+    return of(text)
+
+
+def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each set of ``left`` has in common with each of ``right``."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    often = times[column] > 1
+    row, column = row[often], number[column[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)))
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        low, high = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[low:high], column[low:high] - at] = 1
+        both += part[left] @ part[right].T
+    return both
+
+
+def missed_links(sets: DataFrame, coarse: DataFrame, found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links between parts of ``found(v, root)`` that similar texts of one ``coarse`` group connect.
+
+    Whatever likely pairs connect is one coarse group. Of the groups that are not one part yet,
+    all texts of different parts are compared by their whole sets: parts are put in blocks of
+    about BLOCK sets, larger parts in blocks of their own, and each pair of blocks is a task.
+    """
+    inside = sets.select("id").join(coarse.select(F.col("v").alias("id"), F.col("root").alias("near")), "id").join(
+        found.select(F.col("v").alias("id"), F.col("root").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    inside = stored(inside, "copies-inside")
+    apart = stored(inside.groupBy("near").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("near"), "copies-apart")
+    unsettled = stored(inside.join(apart, "near", "left_semi"), "copies-unsettled")
+    wanted = texts.join(unsettled.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    grams = unsettled.join(wanted.select("id", gram_sets(F.col("text")).alias("grams")), "id")
+    weight = F.greatest(F.lit(1.0), F.length("grams") / (8 * HEAVY))
+    grams = stored(grams.withColumn("weight", weight), "copies-grams")
+    parts = grams.groupBy("near", "part").agg(F.sum("weight").alias("size")).withColumn("large", F.col("size") >= BLOCK)
+    parts = stored(parts, "copies-parts")
+    small = parts.filter(~F.col("large")).groupBy("near").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    sized = parts.join(small, "near", "left").select("near", "part", "large", F.when(F.col("large"), F.ceil(F.col("size") / BLOCK)).otherwise(F.col("blocks")).alias("blocks"))
+    block = F.when(F.col("large"), F.xxhash64("part", F.pmod(F.xxhash64("id"), "blocks"))).otherwise(F.pmod(F.xxhash64("part"), "blocks"))
+    dealt = stored(grams.join(sized, ["near", "part"]).select(
+        "near", "part", "id", "grams", block.alias("block"), F.when(F.col("large"), F.col("part")).alias("whole")), "copies-blocks")
+    blocks = stored(dealt.select("near", "block", "whole").distinct(), "copies-block-list")
+    one, other = (blocks.select("near", F.col("block").alias(b), F.col("whole").alias(w)) for b, w in (("i", "_one"), ("j", "_other")))
+    met = one.join(other, (one.near == other.near) & (one.i <= other.j) & F.coalesce(F.col("_one") != F.col("_other"), F.lit(True)))
+    met = met.select(one.near, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+
+    def linked(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        names, part = np.unique(rows["part"].to_numpy(), return_inverse=True)
+        block = rows["block"].to_numpy()
+        left, right = (np.flatnonzero(block == rows[x][0].as_py()) for x in ("i", "j"))
+        held = [np.frombuffer(g, np.uint64) for g in rows["grams"].to_pylist()]
+        size = np.array([len(g) for g in held])
+        both = shared(held, left, right)
+        alike = both / np.maximum(1, size[left][:, None] + size[right] - both) >= least
+        x, y = np.nonzero(alike & (part[left][:, None] != part[right]))
+        root = np.arange(len(names))
+        united(root, part[left[x]], part[right[y]])
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": names[moved], "b": names[root[moved]]})
+
+    rows = dealt.drop("whole").join(met, ["near", "block"])
+    return rows.groupBy("near", "i", "j").applyInArrow(linked, "a long, b long")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -385,8 +471,9 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     Texts are near copies if their sets of five-word shingles have a similarity of ``least`` or
     more; groups are closed under the links found. Candidates are linked SimHash fingerprints
     and, since at this similarity fingerprints differ in more bits than any table of them can
-    afford, the likeliest partners under equal min-hash keys; whole texts decide. Texts without words are copies of each other, as are
-    rows that repeat an id. Rows without id go by their text, behind all ids.
+    afford, likely pairs under equal min-hash keys: first a few partners of each text, then all
+    texts that likely pairs connect and that are of different groups still; whole texts decide.
+    Texts without words are copies of each other, as are rows that repeat an id. Rows without id go by their text, behind all ids.
     """
     ship_package(docs.sparkSession)
     by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
@@ -399,9 +486,13 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     one, other = (values.select(F.col("fp").alias(x), F.col("id").alias(f"id_{x}")) for x in ("a", "b"))
     near = links(values.select("fp")).join(one, "a").join(other, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     same = sets.join(values.withColumnRenamed("id", "b"), "fp").filter("id <> b").select(F.col("id").alias("a"), "b")
-    pairs = stored(likely_pairs(sets).union(near).union(same).distinct(), "copies-pairs")
-    alike = stored(verified(pairs, keyed.select(F.col("_llm_key").alias("id"), "text"), least), "copies-alike")
-    joined = components(alike.union(
+    likely = stored(likely_pairs(sets), "copies-likely")
+    pairs = stored(likely.filter("chosen").select("a", "b").union(near).union(same).distinct(), "copies-pairs")
+    texts = keyed.select(F.col("_llm_key").alias("id"), "text")
+    alike = stored(verified(pairs, texts, least), "copies-alike")
+    coarse = components(likely.select("a", "b").union(pairs), "copies-near")
+    missed = stored(missed_links(sets, coarse, components(alike, "copies-parts"), texts, least), "copies-missed")
+    joined = components(alike.union(missed).union(
         marked.join(sets.select("content", F.col("id").alias("first")), "content").filter("id <> first").select(F.col("id"), F.col("first"))),
         "copies-groups")
     dropped = stored(joined.filter("root <> v").select(F.col("v").alias("_llm_key")), "copies-dropped")

@@ -201,6 +201,36 @@ def test_op3_near_copies_of_the_pipeline(spark):
     assert kept == sorted(set(root))
 
 
+def test_op3_near_copies_behind_many_nearer_ones(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 32)
+    rng = random.Random(6)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(1000)]
+
+    def changed(words, n, low=0, high=500):
+        words = list(words)
+        for slot in rng.sample(range(low, high, 5), n):
+            words[slot] = f"v{rng.randrange(10**6)}"
+        return words
+
+    # Two crowds of near copies whose only link is that of their first and last texts.
+    far = changed(base, 20, 500, 1000)
+    crowds = [base, *(changed(base, 5) for _ in range(60)), *(changed(far, 5) for _ in range(60)), far]
+    chain = [[w + "c" for w in base]]
+    for _ in range(100):
+        chain.append(changed(chain[-1], 15, 0, 1000))
+    texts = [" ".join(t) for t in crowds + chain]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(frame).collect())
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert kept == sorted(set(root))
+
+
 def test_op3_keep_one(docs, none):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns

@@ -5,6 +5,7 @@ A *run* is ``query_id, chunk_id, score, rank`` with rank by score descending, th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -170,16 +171,54 @@ def dense_search(queries: DataFrame, corpus: DataFrame, k: int = 10, dim: int =
     )
 
 
+# chance that a query meets each of its true top k, and the most buckets of a table that it asks
+SURE, PROBES = 0.95, 4096
+
+
+def probed(own: np.ndarray, cosine: float, most: int) -> np.ndarray | None:
+    """Codes of the buckets, likeliest first and equally many of each table, in one of which a
+    vector of at least this ``cosine`` lies with a chance of SURE; None if that takes over ``most``.
+
+    ``own`` are the projections of the unit query, tables by planes. Given the query, a vector at
+    that angle is on the other side of each plane independently, so chances are exact products.
+    """
+    if not 0 < cosine or most < 1:
+        return None
+    cosine = min(cosine, 1 - 1e-12)
+    odds = np.abs(own) * cosine / np.sqrt(2 * (1 - cosine ** 2))
+    flipped = np.frompyfunc(math.erfc, 1, 1)(odds).astype(float) / 2
+    chance, code = np.ones((len(own), 1)), np.zeros((len(own), 1), np.int64)
+    for number in range(own.shape[1]):
+        bit = (own[:, number, None] > 0).astype(np.int64)
+        chance = np.concatenate((chance * (1 - flipped[:, number, None]), chance * flipped[:, number, None]), axis=1)
+        code = np.concatenate((code | bit << number, code | (1 - bit) << number), axis=1)
+        kept = np.argsort(-chance, axis=1, kind="stable")[:, :most]
+        chance, code = np.take_along_axis(chance, kept, 1), np.take_along_axis(code, kept, 1)
+    missed = np.prod(1 - np.minimum(1, np.cumsum(chance, axis=1)), axis=0)
+    enough = int(np.searchsorted(-missed, SURE - 1))
+    if enough == len(missed):
+        return None
+    return (code[:, :enough + 1] + (np.arange(len(own))[:, None] << own.shape[1])).ravel()
+
+
 def dense_search_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, dim: int = 384, tables: int = 32,
                      planes: int | None = None, seed: int = 17) -> DataFrame:
     """Approximate top-k by random-hyperplane signatures, exact scores on the candidates.
 
     Query and chunk meet on (table, signature); every candidate found is scored. The planes of
     a signature grow with the logarithm of the corpus, by default one bucket to 32 vectors.
+    The k-th score among the query's own buckets bounds the angle to the true top k; the query
+    then asks as many further buckets as meet any vector within that angle with a chance of
+    SURE, whatever the size of the corpus. Queries that would ask for as many pairs as the
+    corpus has vectors, or find no bound, are searched exactly.
     """
     if planes is None:
         planes = max(4, int(np.ceil(np.log2(max(1, corpus.count()) / 32))))
     normals = np.random.default_rng(seed).normal(size=(tables * planes, dim))
+    most = min(PROBES, (1 << planes) // tables)
+
+    def valid(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.col("vector").cast("array<double>").alias("vector")).filter(I.valid_vector(F.col("vector"), dim))
 
     def signed(df: DataFrame, key: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,25 +234,45 @@ def dense_search_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, dim: in
                     names=[key, "vector", "codes"],
                 )
 
-        return (
-            df.select(key, F.col("vector").cast("array<double>").alias("vector"))
-            .filter(I.valid_vector(F.col("vector"), dim))
-            .mapInArrow(run, f"{key} {_id_type(df, key)}, vector array<double>, codes array<long>")
-        )
+        return valid(df, key).mapInArrow(run, f"{key} {_id_type(df, key)}, vector array<double>, codes array<long>")
 
-    q = signed(queries, "query_id").withColumnRenamed("vector", "qv")
     c = signed(corpus, "chunk_id").withColumnRenamed("vector", "cv")
-    pairs = (
-        q.select("query_id", F.explode("codes").alias("code"))
-        .join(c.select("chunk_id", F.explode("codes").alias("code")), "code")
-        .select("query_id", "chunk_id").distinct()
-    )
     dot = F.aggregate(F.zip_with("qv", "cv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = (
-        pairs.join(q.select("query_id", "qv"), "query_id").join(c.select("chunk_id", "cv"), "chunk_id")
-        .select("query_id", "chunk_id", r6(dot).alias("score"))
-    )
-    return top_k(scored, "query_id", k, *best())
+
+    def scored(q: DataFrame) -> DataFrame:
+        pairs = (
+            q.select("query_id", F.explode("codes").alias("code"))
+            .join(c.select("chunk_id", F.explode("codes").alias("code")), "code")
+            .select("query_id", "chunk_id").distinct()
+        )
+        return (
+            pairs.join(q.select("query_id", F.col("vector").alias("qv")), "query_id").join(c.select("chunk_id", "cv"), "chunk_id")
+            .select("query_id", "chunk_id", r6(dot).alias("score"))
+        )
+
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    longest = valid(corpus, "chunk_id").agg(F.max(norm("vector")).alias("longest")).first()["longest"] or 0.0
+    own = signed(queries, "query_id")
+    bound = top_k(scored(own), "query_id", k, *best()).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if not part.num_rows:
+                continue
+            codes = []
+            for vector, least in zip(_as_matrix(part.column(1)), part.column(2).to_pylist(), strict=True):
+                length = np.sqrt(vector @ vector)
+                if least is None or not length * longest > 0:
+                    codes.append(None)
+                else:
+                    codes.append(probed((normals @ vector / length).reshape(tables, planes), (least - 1e-6) / (length * longest), most))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.list_(pa.int64()))], names=["query_id", "vector", "codes"])
+
+    q = cut_lineage(own.drop("codes").join(bound, "query_id", "left").mapInArrow(
+        asked, f"query_id {_id_type(queries, 'query_id')}, vector array<double>, codes array<long>"))
+    near = top_k(scored(q.filter("codes IS NOT NULL")), "query_id", k, *best())
+    whole = dense_search(q.filter("codes IS NULL").drop("codes"), valid(corpus, "chunk_id"), k, dim)
+    return near.select("query_id", "chunk_id", "score", "rank").unionByName(whole)
 
 
 # -- fusion -----------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioframe.operators import evidence, graph, index, resolve, search
@@ -111,6 +113,20 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) >= 0.8
 
 
+def test_lsh_recall_of_default_planes_at_sizes(spark):
+    rng = np.random.default_rng(8)
+    asked = rng.normal(size=(20, 64))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, vector array<double>")
+    for n in (500, 4000, 32000):
+        vectors = rng.normal(size=(n, 64)) + 0.5 * asked[rng.integers(0, 20, n)] * (rng.random((n, 1)) < 0.2)
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        frame = spark.createDataFrame(pd.DataFrame({"chunk_id": np.arange(n), "vector": list(vectors)}))
+        exact = {(r[0], r[1]) for r in search.dense_search(queries, frame, 10, 64).collect()}
+        near = {(r[0], r[1]) for r in search.dense_search_lsh(queries, frame, 10, 64).collect()}
+        assert len(near) == len(exact) == 200
+        assert len(exact & near) >= 0.9 * len(exact)
+
+
 def test_contradictions_have_no_cap(spark):
     rows = [(1, i, "the result is not stable over all runs") for i in range(20)] + [(1, 100 + i, "the result is stable over all runs") for i in range(20)]
     got = evidence.contradictions(spark.createDataFrame(rows, "query_id long, chunk_id long, text string")).first()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import (
-    class_ngram, cotrain, langid, mixture, private_spans, simhash, token_frames, url_filter, vector_approx, winnow,
+    class_ngram, cotrain, langid, merkle, mixture, private_spans, simhash, token_frames, url_filter, vector_approx, winnow,
 )
 from folioframe.llm.common import held_out, table
 
@@ -73,7 +73,13 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op1_class_ngram, op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op6_vector_approximation, op7_language_id, op8_winnowing, op9_cotraining_quality, op10_url_filter)}
+def op13_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select(*merkle.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.verified(docs, tampered, F.col("n_chars").cast("decimal(20, 0)") + 1)
+
+
+QUERIES = {f.__name__: f for f in (op1_class_ngram, op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op6_vector_approximation, op7_language_id, op8_winnowing, op9_cotraining_quality, op10_url_filter, op13_merkle_manifest)}
 SQL: dict[str, str] = {
     "op4_poisson_mixture": r"""
 WITH sized AS (SELECT coalesce('=' || source, 'null') AS key, sum(length(coalesce(text, '')) + 1)::DOUBLE AS size FROM documents GROUP BY 1),
@@ -129,4 +135,34 @@ items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM said LEFT JOIN words USING (row) LEFT JOIN items USING (row)""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE framed AS (SELECT *, row_number() OVER () AS row,
+  list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda crc, byte:
+    list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+  coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS size,
+  coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS other_size,
+  coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS key, sha256(head || size || tail) AS leaf,
+  CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || other_size || tail) END AS other, row FROM framed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS pos FROM leaves),
+up AS (SELECT key, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY key
+  UNION ALL SELECT key, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[i + 1:i + 2], '')))
+  FROM up WHERE len(nodes) > 1),
+subroots AS (SELECT key, nodes[1] AS subroot, row_number() OVER (ORDER BY key) - 1 AS pos FROM up WHERE len(nodes) = 1),
+top AS (SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+  UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[i + 1:i + 2], '')))
+  FROM top WHERE len(nodes) > 1),
+steps AS (SELECT row, level, (pos >> level) & 1 AS side, coalesce(nodes[xor(pos >> level, 1) + 1], '') AS sibling
+  FROM placed JOIN up USING (key) WHERE len(nodes) > 1
+  UNION ALL SELECT row, 1000 + level, (s.pos >> level) & 1, coalesce(nodes[xor(s.pos >> level, 1) + 1], '')
+  FROM placed JOIN subroots s USING (key), top WHERE len(nodes) > 1),
+paths AS (SELECT row, list({'side': side, 'sibling': sibling, 'node': ''} ORDER BY level) AS path FROM steps GROUP BY row),
+folded AS (SELECT p.*, coalesce(path, []) AS path, list_reduce(list_prepend({'side': 0::BIGINT, 'sibling': '', 'node': coalesce(other, leaf)},
+    coalesce(path, [])), lambda x, s: {'side': s.side, 'sibling': '', 'node': sha256(CASE s.side WHEN 1 THEN s.sibling || x.node ELSE x.node || s.sibling END)}).node AS folded_root
+  FROM placed p LEFT JOIN paths USING (row))
+SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(array_to_string(list_transform(path, lambda s: s.sibling), '')) AS proof_sha256,
+  folded_root, folded_root = nodes[1] AS verified
+FROM folded JOIN subroots USING (key), top WHERE len(nodes) = 1""",
 }

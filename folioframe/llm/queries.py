@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import (
-    class_ngram, cotrain, langid, merkle, mixture, periodic, private_spans, simhash, token_frames, url_filter, vector_approx, winnow,
+    class_ngram, cotrain, langid, merkle, mixture, packing, periodic, private_spans, simhash, token_frames, url_filter, vector_approx, winnow,
 )
 from folioframe.llm.common import held_out, table
 
@@ -75,6 +75,10 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, listed)
 
 
+def op11_pattern_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.packed(table(spark, root, "documents"), tokenizer_file("byte_bpe_50k.json")).drop("ids")
+
+
 def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of a tenth of the documents, with a tail of them repeated to the end."""
     if doc_id is None or not words or (place := zlib.crc32(str(doc_id).encode())) % 10:
@@ -95,7 +99,7 @@ def op13_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
     return merkle.verified(docs, tampered, F.col("n_chars").cast("decimal(20, 0)") + 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_class_ngram, op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op6_vector_approximation, op7_language_id, op8_winnowing, op9_cotraining_quality, op10_url_filter, op12_periodic_runs, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_class_ngram, op2_token_frames, op3_simhash_dedup, op4_poisson_mixture, op5_private_spans, op6_vector_approximation, op7_language_id, op8_winnowing, op9_cotraining_quality, op10_url_filter, op11_pattern_packing, op12_periodic_runs, op13_merkle_manifest)}
 SQL: dict[str, str] = {
     "op4_poisson_mixture": r"""
 WITH sized AS (SELECT coalesce('=' || source, 'null') AS key, sum(length(coalesce(text, '')) + 1)::DOUBLE AS size FROM documents GROUP BY 1),

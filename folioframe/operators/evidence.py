@@ -42,9 +42,12 @@ def extract_claims(evidence: DataFrame) -> DataFrame:
     """All different claims of each query, in the order of its documents.
 
     A claim belongs to the first document that makes it; spelling in capitals does not count.
+    The confidence stands in the exploded rows: beside the generator it would be computed, from
+    the whole text, once for each claim.
     """
-    said = evidence.select(
-        "query_id", "rank", "chunk_id", claim_confidence().alias("confidence"), F.posexplode_outer(claim_sentences(F.col("text"))).alias("place", "claim"))
+    claims = X.let(claim_confidence(), lambda confidence: F.transform(
+        claim_sentences(F.col("text")), lambda claim, place: F.struct(place.alias("place"), claim.alias("claim"), confidence.alias("confidence"))))
+    said = evidence.select("query_id", "rank", "chunk_id", F.inline_outer(claims))
     first = said.filter("claim IS NOT NULL").groupBy("query_id", F.lower("claim").alias("said")).agg(
         F.min(F.struct("rank", "place", "chunk_id", "confidence", "claim")).alias("c")).select("query_id", "c.*")
     order = Window.partitionBy("query_id").orderBy("rank", "place")

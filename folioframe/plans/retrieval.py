@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
 from folioframe.functions.lexicon import PAPER_STOP
+from folioframe.operators import impact_index as P
 from folioframe.operators import index as I
+from folioframe.operators import requests as R
 from folioframe.operators import search as S
 from folioframe.plans import base as B
 from folioframe.plans.registry import cte, query
+from folioframe.session import checkpoint_dir
 
 # -- index ------------------------------------------------------------------------------
 
@@ -314,6 +319,73 @@ def _(c):
     return S.hybrid_search(c.queries, c.chunks, 10)
 
 
+@query("search_index", "SELECT * FROM runs", "runs")
+def _(c):
+    place = f"{checkpoint_dir(c.spark).rstrip('/')}/search-index-{uuid.uuid4().hex}"
+    return P.search_impacts(c.queries, P.build_impacts(c.chunks, place), 10).run
+
+
+# Requests: every passage with settings of its own, filters as rows.
+cte("request", """SELECT item_id AS query_id, text, CASE item_id % 5 WHEN 0 THEN 'dense' WHEN 1 THEN 'sparse' ELSE 'hybrid' END AS mode,
+  3 + item_id % 8 AS top_k, (item_id % 3) / 2.0::DOUBLE AS vector_weight, (1 + item_id % 2) / 2.0::DOUBLE AS keyword_weight, item_id % 4 = 2 AS rerank FROM benchmark""")
+cte("request_filter", """SELECT item_id AS query_id, key, value FROM (SELECT item_id, unnest([
+  {'key': 'lang', 'value': CASE WHEN item_id % 6 < 4 THEN 'en' END}, {'key': 'lang', 'value': CASE WHEN item_id % 6 = 3 THEN 'de' END},
+  {'key': 'source', 'value': CASE WHEN item_id % 7 = 0 THEN 'src' || item_id % 5 END},
+  {'key': 'source', 'value': CASE WHEN item_id % 11 = 4 THEN 'nowhere' END}], recursive := true) FROM benchmark) WHERE value IS NOT NULL""")
+cte("request_allowed", """SELECT query_id, doc_id AS chunk_id FROM request r, documents d
+  WHERE NOT EXISTS (SELECT 1 FROM request_filter f WHERE f.query_id = r.query_id AND f.key = 'lang'
+      GROUP BY f.query_id HAVING count(*) FILTER (f.value = d.lang) = 0)
+    AND NOT EXISTS (SELECT 1 FROM request_filter f WHERE f.query_id = r.query_id AND f.key = 'source'
+      GROUP BY f.query_id HAVING count(*) FILTER (f.value = d.source) = 0)""", "request", "request_filter")
+cte("request_legs", """SELECT leg, query_id, chunk_id, score, row_number() OVER (PARTITION BY leg, query_id ORDER BY score DESC, chunk_id) AS rank, top_k
+  FROM (SELECT 'sparse' AS leg, * FROM bm25 UNION ALL SELECT 'dense', * FROM hash_dense) JOIN request_allowed USING (query_id, chunk_id)
+  JOIN request USING (query_id) WHERE mode = 'hybrid' OR mode = leg QUALIFY rank <= 2 * top_k""", "bm25", "hash_dense", "request_allowed")
+cte("request_fused", """SELECT query_id, chunk_id, d AS dense_score, s AS sparse_score, rerank, top_k, round(CASE WHEN mode <> 'hybrid' THEN coalesce(du, su)
+    ELSE (coalesce(du, 0) * vector_weight + coalesce(su, 0) * keyword_weight) / (vector_weight + keyword_weight) END, 6) AS score
+  FROM (SELECT query_id, chunk_id, max(unit) FILTER (leg = 'dense') AS du, max(unit) FILTER (leg = 'sparse') AS su,
+      max(score) FILTER (leg = 'dense') AS d, max(score) FILTER (leg = 'sparse') AS s
+    FROM (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE
+      (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS unit FROM request_legs WINDOW w AS (PARTITION BY leg, query_id))
+    GROUP BY 1, 2) JOIN request USING (query_id)""", "request_legs", "request")
+rerank_ctes("rq", """SELECT query_id, chunk_id, r.text AS query_text, d.text, '' AS meta_text, score
+  FROM request_fused f JOIN request r USING (query_id) JOIN documents d ON d.doc_id = chunk_id WHERE f.rerank""", ("request_fused", "request"))
+cte("request_results", """SELECT query_id, chunk_id, rank, score, dense_score, sparse_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM (SELECT query_id, chunk_id, dense_score, sparse_score, top_k, coalesce(rerank_score, f.score) AS score
+    FROM request_fused f LEFT JOIN (SELECT query_id, chunk_id, rerank_score FROM rq_reranked) USING (query_id, chunk_id))) WHERE rank <= top_k""", "request_fused", "rq_reranked")
+
+
+def _answers(c):
+    q = F.col("query_id")
+    requests = c.queries.select(
+        "query_id", "text", F.when(q % 5 == 0, "dense").when(q % 5 == 1, "sparse").otherwise("hybrid").alias("mode"), (3 + q % 8).alias("top_k"),
+        ((q % 3) / 2.0).alias("vector_weight"), ((1 + q % 2) / 2.0).alias("keyword_weight"), (q % 4 == 2).alias("rerank"))
+
+    def row(key, value):
+        return F.struct(F.lit(key).alias("key"), value.alias("value"))
+
+    filters = c.queries.select("query_id", F.inline(F.filter(F.array(
+        row("lang", F.when(q % 6 < 4, "en")), row("lang", F.when(q % 6 == 3, "de")),
+        row("source", F.when(q % 7 == 0, F.concat(F.lit("src"), (q % 5).cast("string")))), row("source", F.when(q % 11 == 4, "nowhere"))),
+        lambda s: s["value"].isNotNull())))
+    return R.search_requests(requests, c.chunks, filters)
+
+
+@query("request_search", "SELECT * FROM request_results", "request_results")
+def _(c):
+    return _answers(c).results
+
+
+@query("request_stages", """
+SELECT query_id, mode, rerank, coalesce(eligible, 0) AS eligible, coalesce(dense_candidates, 0) AS dense_candidates, coalesce(sparse_candidates, 0) AS sparse_candidates,
+  coalesce(fused_candidates, 0) AS fused_candidates, coalesce(reranked_candidates, 0) AS reranked_candidates, coalesce(final_results, 0) AS final_results
+FROM request LEFT JOIN (SELECT query_id, count(*) AS eligible FROM request_allowed GROUP BY 1) USING (query_id)
+LEFT JOIN (SELECT query_id, count(*) FILTER (leg = 'dense') AS dense_candidates, count(*) FILTER (leg = 'sparse') AS sparse_candidates FROM request_legs GROUP BY 1) USING (query_id)
+LEFT JOIN (SELECT query_id, count(*) AS fused_candidates, count(*) FILTER (rerank) AS reranked_candidates FROM request_fused GROUP BY 1) USING (query_id)
+LEFT JOIN (SELECT query_id, count(*) AS final_results FROM request_results GROUP BY 1) USING (query_id)""", "request_results", "request_allowed")
+def _(c):
+    return _answers(c).stages
+
+
 @query("federated_search", """
 SELECT query_id, chunk_id, score, lang, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, chunk_id) AS rank
 FROM bm25 JOIN documents ON chunk_id = doc_id QUALIFY rank <= 3""", "bm25")

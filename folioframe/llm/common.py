@@ -16,9 +16,23 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+#: Folders handed out by this driver and not freed yet, oldest first.
+made: list[str] = []
+
+
 def folder(spark: SparkSession, label: str) -> str:
     """A new place below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
+    made.append(f"{checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def free(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders that nothing reads any more."""
+    for path in folders:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if path in made:
+            made.remove(path)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -307,13 +307,13 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return told.filter(F.col("_alike") >= least).select("a", "b")
 
 
-def partners(group: np.ndarray, block: np.ndarray, own: np.ndarray, values: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def partners(group: np.ndarray, values: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each lane the likeliest copies among those before and those behind it in its group.
 
     SimHash distances are compared bit-sliced; pairs within FAR bits are judged by how many
-    min-hashes agree, and from LIKELY on the best PARTNERS of either side are proposed. So a
-    lane gives few pairs, however large its group. Behind them, marked false, comes each lane
-    with the first of those that a chain of likely pairs connects it with.
+    min-hashes agree, and from LIKELY on the best PARTNERS of either side are proposed. Behind
+    them, marked false, comes each lane with the first of those that a chain of likely pairs
+    connects it with. Groups have BLOCK lanes at most, so a lane gives few pairs.
     """
     n = len(values)
     edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
@@ -322,7 +322,7 @@ def partners(group: np.ndarray, block: np.ndarray, own: np.ndarray, values: np.n
     best, partner = np.full((2, PARTNERS, n), LIKELY), np.full((2, PARTNERS, n), -1)
     root = np.arange(n)
     for step in range(1, largest):
-        wanted = (group[step:] == group[:-step]) & (own[step:] | (block[step:] != block[:-step]))
+        wanted = group[step:] == group[:-step]
         if not wanted.any():
             continue
         lane = within(planes, step, wanted, FAR)
@@ -340,18 +340,45 @@ def partners(group: np.ndarray, block: np.ndarray, own: np.ndarray, values: np.n
     return np.concatenate((lane, moved)), np.concatenate((partner[side, seat, lane], root[moved])), chosen
 
 
+def bridges(group: np.ndarray, block: np.ndarray, part: np.ndarray, values: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes that connect parts by likely pairs of different blocks, one or none for each part.
+
+    Lanes whose parts are one already are not compared, so that a crowd costs nothing.
+    """
+    _, first, number = np.unique(part, return_index=True, return_inverse=True)
+    root = first[number]
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    largest = int(np.diff(edges).max()) if len(values) else 0
+    planes = bit_planes(values, 2 + largest // 64)
+    for step in range(1, largest):
+        wanted = (group[step:] == group[:-step]) & (block[step:] != block[:-step]) & (root[step:] != root[:-step])
+        if not wanted.any():
+            continue
+        lane = within(planes, step, wanted, FAR)
+        lane = lane[(signs[lane] == signs[lane + step]).mean(axis=1) >= LIKELY]
+        united(root, lane, lane + step)
+        root = root[root]
+    moved = first[root[first] != first]
+    return moved, root[moved]
+
+
 def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of likely copies in the groups of a sorted partition, groups whole, in pieces."""
-    names = ("key", "i", "j", "block", "fp", "id")
+    """Pairs of likely copies in the groups of a sorted partition, groups whole, in pieces: of
+    groups of one block a few for each, of groups of two blocks those that connect parts."""
+    names = ("key", "i", "j", "block", "part", "fp", "id")
 
     def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        part = {x: rows[x].to_numpy().astype(np.int64) for x in names}
+        cols = {x: rows[x].to_numpy().astype(np.int64) for x in names}
         signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(len(rows), -1)
         fresh = np.zeros(len(rows), bool)
-        fresh[1:] = np.any([part[x][1:] != part[x][:-1] for x in ("key", "i", "j")], axis=0)
-        one, other, chosen = partners(np.cumsum(fresh), part["block"], part["i"] == part["j"], part["fp"].view(np.uint64), signs)
-        ids = part["id"]
+        fresh[1:] = np.any([cols[x][1:] != cols[x][:-1] for x in ("key", "i", "j")], axis=0)
+        group, fps, ids = np.cumsum(fresh), cols["fp"].view(np.uint64), cols["id"]
+        if (cols["i"] == cols["j"]).all():
+            one, other, chosen = partners(group, fps, signs)
+        else:
+            one, other = bridges(group, cols["block"], cols["part"], fps, signs)
+            chosen = np.zeros(len(one), bool)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.maximum(ids[one], ids[other])), pa.array(np.minimum(ids[one], ids[other])), pa.array(chosen)],
             names=["a", "b", "chosen"])
@@ -371,23 +398,65 @@ def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
+PAIRS = "a long, b long, chosen boolean"
+
+
 def likely_pairs(sets: DataFrame) -> DataFrame:
     """``a, b, chosen``: pairs of ``sets(id, fp, keys, sign)`` that may be near copies, a few for
     each, and pairs not chosen that keep every connection by likely pairs.
 
-    Sets meet where a min-hash key is equal. A key with more than BLOCK sets is dealt to
-    blocks, and each pair of blocks is compared by a task of its own.
+    Sets meet where a min-hash key is equal; only keys and ids are shuffled to find where, and
+    sketches follow the ids that meet any. A key with more than BLOCK sets is dealt to blocks,
+    compared each by itself first. What connects its blocks is then looked for in two steps:
+    one set of each part of the key, and last all sets of different parts, block by block. A
+    crowd is one part before the last step, so the pairs of a set do not grow with its group.
     """
     keyed = sets.select(F.explode("keys").alias("key"), "id")
-    counts = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "copies-keys")
-    met = (
-        sets.select(F.explode("keys").alias("key"), "id", "fp", "sign").join(counts, "key")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-        .select("key", "id", "fp", "sign", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "id", "sign")
-    )
-    dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return dealt.mapInArrow(proposed, "a long, b long, chosen boolean").distinct()
+    groups = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "copies-keys")
+    sketched = sets.select("id", "fp", "sign")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """``rows(key, i, j, block, part, id)`` with their sketches, compared."""
+        met = rows.join(sketched, "id").select("key", "i", "j", "block", "part", "fp", "id", "sign")
+        return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(proposed, PAIRS).distinct()
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)).alias("block")
+
+    def alone(rows: DataFrame) -> DataFrame:
+        """Each block of ``rows(key, id, n)`` by itself."""
+        return rows.select("key", "id", block("n")).select(
+            "key", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.col("id").alias("part"), "id")
+
+    found = stored(dealt(alone(keyed.join(groups, "key"))), "copies-likely")
+    large = groups.filter(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return found
+    crowded = stored(keyed.join(large, "key"), "copies-crowded")
+
+    def parted() -> DataFrame:
+        """``crowded`` with the part of each set by the pairs found so far."""
+        parts = components(found.select("a", "b"), "copies-coarse").select(F.col("v").alias("id"), F.col("root").alias("part"))
+        return stored(crowded.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "copies-crowded")
+
+    places = parted()
+    while True:
+        heads = places.groupBy("key", "part").agg(F.min("id").alias("id"))
+        several = stored(heads.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "copies-several")
+        if several.isEmpty():
+            return found
+        fresh = stored(dealt(alone(heads.select("key", "id").join(several, "key"))), "copies-likely")
+        found = found.union(fresh)
+        before, places = places.select("part").distinct().count(), parted()
+        if several.filter(F.col("n") > BLOCK).isEmpty() or places.select("part").distinct().count() == before:
+            break
+    placed = places.select("key", "id", "part", block("n"))
+    blocks = stored(placed.groupBy("key", "block").agg(F.min("part").alias("low"), F.max("part").alias("high")), "copies-blocks")
+    one, other = (blocks.select("key", F.col("block").alias(b), F.col("low").alias(f"low_{b}"), F.col("high").alias(f"high_{b}")) for b in ("i", "j"))
+    apart = (F.col("low_i") != F.col("high_i")) | (F.col("low_j") != F.col("high_j")) | (F.col("low_i") != F.col("low_j"))
+    across = one.join(other, (one["key"] == other["key"]) & (F.col("i") < F.col("j")) & apart).select(
+        one["key"], "i", "j", F.explode(F.array("i", "j")).alias("block"))
+    return found.union(stored(dealt(placed.join(across, ["key", "block"])), "copies-likely"))
 
 
 def gram_sets(text: Column) -> Column:
@@ -486,7 +555,7 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     one, other = (values.select(F.col("fp").alias(x), F.col("id").alias(f"id_{x}")) for x in ("a", "b"))
     near = links(values.select("fp")).join(one, "a").join(other, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     same = sets.join(values.withColumnRenamed("id", "b"), "fp").filter("id <> b").select(F.col("id").alias("a"), "b")
-    likely = stored(likely_pairs(sets), "copies-likely")
+    likely = likely_pairs(sets)
     pairs = stored(likely.filter("chosen").select("a", "b").union(near).union(same).distinct(), "copies-pairs")
     texts = keyed.select(F.col("_llm_key").alias("id"), "text")
     alike = stored(verified(pairs, texts, least), "copies-alike")

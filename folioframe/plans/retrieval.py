@@ -12,6 +12,7 @@ from folioframe.operators import impact_index as P
 from folioframe.operators import index as I
 from folioframe.operators import requests as R
 from folioframe.operators import search as S
+from folioframe.operators import vector_lists as V
 from folioframe.plans import base as B
 from folioframe.plans.registry import cte, query
 from folioframe.session import checkpoint_dir
@@ -173,6 +174,22 @@ def _(c):
     return S.dense_search(c.centroids, c.vectors, 10, 64)
 
 
+def _new_place(c, name):
+    return f"{checkpoint_dir(c.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("vector_list_search", "SELECT * FROM dense_runs", "dense_runs")
+def _(c):
+    return V.search_lists(c.centroids, V.build_lists(c.vectors, _new_place(c, "lists"), 64), 10).run
+
+
+@query("vector_list_added", "SELECT * FROM dense_runs", "dense_runs")
+def _(c):
+    index = V.build_lists(c.vectors.filter("chunk_id % 3 > 0"), _new_place(c, "lists"), 64)
+    V.add_vectors(index, c.vectors.filter("chunk_id % 3 = 0"))
+    return V.search_lists(c.centroids, V.open_lists(c.spark, index.path), 10).run
+
+
 @query("dense_search_lsh")
 def _(c):
     return S.dense_search_lsh(c.centroids, c.vectors, 10, 64)
@@ -321,8 +338,7 @@ def _(c):
 
 @query("search_index", "SELECT * FROM runs", "runs")
 def _(c):
-    place = f"{checkpoint_dir(c.spark).rstrip('/')}/search-index-{uuid.uuid4().hex}"
-    return P.search_impacts(c.queries, P.build_impacts(c.chunks, place), 10).run
+    return P.search_impacts(c.queries, P.build_impacts(c.chunks, _new_place(c, "search-index")), 10).run
 
 
 # Requests: every passage with settings of its own, filters as rows.

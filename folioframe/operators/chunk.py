@@ -7,7 +7,6 @@ optimizer adds a filter that computes the array a second and a third time.
 
 from __future__ import annotations
 
-import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -321,24 +320,28 @@ def broken_sequences(chunks: DataFrame) -> DataFrame:
 def document_tree(nodes: DataFrame) -> DataFrame:
     """``node_id, parent_id, depth``: nodes below the root (null parent); orphans hang on the root.
 
-    One join per level, until one is empty; each level is cut from its history.
+    Pointer doubling: every node knows an ancestor and how far it is, and takes over that
+    ancestor's own one, so that a chain of n nodes takes log2(n) rounds. Only nodes that have
+    not reached the root go through a round. Nodes of a circle never reach it and are left out;
+    they are what remains once the rounds have covered as many levels as there are nodes.
     """
     from folioframe.session import cut_lineage
 
     known = nodes.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
-    tied = nodes.join(known, "parent_id", "left").select(
-        "node_id", F.when(F.col("known") & (F.col("parent_id") != F.col("node_id")), F.col("parent_id")).alias("parent_id"))
-    tied = cut_lineage(tied)
-    level = cut_lineage(tied.filter("parent_id IS NULL").withColumn("depth", F.lit(1)))
-    levels = [level]
-    below = tied.filter("parent_id IS NOT NULL")
-    for depth in itertools.count(2):
-        level = cut_lineage(below.join(level.select(F.col("node_id").alias("parent_id")), "parent_id").select(
-            "node_id", "parent_id", F.lit(depth).alias("depth")))
-        if level.isEmpty():
+    tied = cut_lineage(nodes.join(known, "parent_id", "left").select(
+        "node_id", F.when(F.col("known") & (F.col("parent_id") != F.col("node_id")), F.col("parent_id")).alias("parent_id")))
+    done = tied.filter("parent_id IS NULL").select("node_id", F.lit(1).alias("depth"))
+    open_ = tied.filter("parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("above"), F.lit(1).alias("steps"))
+    reached, most = 1, tied.count()
+    while reached < 2 * most:
+        ends = done.select(F.col("node_id").alias("above"), "depth")
+        further = open_.select(F.col("node_id").alias("above"), F.col("above").alias("next"), F.col("steps").alias("more"))
+        moved = cut_lineage(open_.join(ends, "above", "left").join(further, "above", "left").select(
+            "node_id", F.coalesce("next", "above").alias("above"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            (F.col("steps") + F.col("depth")).alias("depth")))
+        done = cut_lineage(done.unionByName(moved.filter("depth IS NOT NULL").select("node_id", "depth")))
+        open_ = moved.filter("depth IS NULL").drop("depth")
+        reached *= 2
+        if open_.isEmpty():
             break
-        levels.append(level)
-    tree = levels[0]
-    for more in levels[1:]:
-        tree = tree.unionByName(more)
-    return tree
+    return tied.join(done, "node_id").select("node_id", "parent_id", "depth")

@@ -6,6 +6,8 @@ relevance, text, source``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from folioframe.functions.lexicon import (
 )
 from folioframe.functions.scores import clamp01, r6, top_k
 from folioframe.operators.resolve import fold_sets, jaccard_pairs
+from folioframe.session import cut_lineage
 
 
 # -- claims -------------------------------------------------------------------------------
@@ -197,25 +200,60 @@ def stance_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: t.rlike(r"^[a-z0-9']+$")))
 
 
+# rows of a query whose token sets are compared within one row; larger groups meet on tokens
+ROWS_TOGETHER = 32
+
+
+def _close_within_rows(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different sides of queries with few ``sets``, which fit in one row."""
+    rows = sets.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("id", "copies", "denies", "asserts", "tokens"))).alias("xs"))
+
+    def pair(x: Column, y: Column) -> Column:
+        shared = F.size(F.array_intersect(x["tokens"], y["tokens"]))
+        return X.let(shared, lambda n: F.struct(
+            x["id"].alias("a"), y["id"].alias("b"), (n / (F.size(x["tokens"]) + F.size(y["tokens"]) - n)).alias("similarity"),
+            x["asserts"].alias("asserts_a"), y["asserts"].alias("asserts_b"), (x["copies"] * y["copies"]).alias("pairs")))
+
+    pairs = X.let(F.col("xs"), lambda xs: F.flatten(F.transform(xs, lambda x, i: F.transform(
+        F.filter(F.slice(xs, i + 2, F.size(xs)), lambda y: y["denies"] != x["denies"]), lambda y: pair(x, y)))))
+    return rows.select("query_id", F.inline(pairs)).filter(F.col("similarity") >= threshold - 1e-9).withColumn("similarity", r6(F.col("similarity")))
+
+
 def contradiction_pairs(rows: DataFrame, similarity: float = 0.35, threshold: float = 0.65) -> DataFrame:
     """Similar texts of a query of which one denies and the other does not.
 
-    Denial must differ to reach the threshold, so only rows of different sides meet, on their
-    rare tokens. No limit on the number of pairs.
+    Denial must differ to reach the threshold, so only rows of different sides meet: within a
+    row for queries of at most ROWS_TOGETHER rows, which any result list has, and on their rare
+    tokens for larger ones. No limit on the number of pairs.
     """
-    folded = fold_sets(rows, ["query_id"], "chunk_id", stance_tokens(F.col("text"))).filter("n > 0")
-    denies = F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in NEGATION]))
-    asserts = F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in ASSERTION]))
-    flagged = folded.withColumns({"denies": denies, "asserts": asserts})
-    close = jaccard_pairs(flagged, similarity, ["query_id"], "id", side=F.col("denies"))
+    told = rows.select("query_id", "chunk_id", F.array_sort(stance_tokens(F.col("text"))).alias("tokens")).filter(F.size("tokens") > 0)
+    # Written once: the texts behind the tokens are costly and both ways read them.
+    told = cut_lineage(told)
+    few = told.groupBy("query_id").agg((F.count(F.lit(1)) <= ROWS_TOGETHER).alias("few"))
+    placed = told.join(few, "query_id")
+
+    def flagged(sets: DataFrame) -> DataFrame:
+        return sets.withColumns({
+            "denies": F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in NEGATION])),
+            "asserts": F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in ASSERTION]))})
+
+    folded = placed.filter("few").groupBy("query_id", "tokens").agg(F.min("chunk_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    within = _close_within_rows(flagged(folded), similarity)
+    found = within if few.filter("NOT few").isEmpty() else within.unionByName(_close_across_rows(flagged, placed, similarity, within.columns))
+    judged = found.withColumn("contradiction", F.round(0.7 + F.when(F.col("asserts_a") != F.col("asserts_b"), 0.2).otherwise(0.0), 6))
+    return judged.filter(F.col("contradiction") >= threshold).select("query_id", "a", "b", "similarity", "contradiction", "pairs")
+
+
+def _close_across_rows(flagged: Callable[[DataFrame], DataFrame], placed: DataFrame, similarity: float, columns: list[str]) -> DataFrame:
+    """The same pairs of queries with many rows, which meet on their rare tokens."""
+    crowded = flagged(fold_sets(placed.filter("NOT few"), ["query_id"], "chunk_id", F.col("tokens")))
+    close = jaccard_pairs(crowded, similarity, ["query_id"], "id", side=F.col("denies"))
 
     def flags(tag: str) -> DataFrame:
-        return flagged.select("query_id", F.col("id").alias(tag), F.col("asserts").alias(f"asserts_{tag}"), F.col("copies").alias(f"copies_{tag}"))
+        return crowded.select("query_id", F.col("id").alias(tag), F.col("asserts").alias(f"asserts_{tag}"), F.col("copies").alias(f"copies_{tag}"))
 
-    judged = close.join(flags("a"), ["query_id", "a"]).join(flags("b"), ["query_id", "b"]).withColumn(
-        "contradiction", F.round(0.7 + F.when(F.col("asserts_a") != F.col("asserts_b"), 0.2).otherwise(0.0), 6))
-    return judged.filter(F.col("contradiction") >= threshold).select(
-        "query_id", "a", "b", "similarity", "contradiction", (F.col("copies_a") * F.col("copies_b")).alias("pairs"))
+    return close.join(flags("a"), ["query_id", "a"]).join(flags("b"), ["query_id", "b"]).withColumn(
+        "pairs", F.col("copies_a") * F.col("copies_b")).select(*columns)
 
 
 def contradictions(rows: DataFrame, similarity: float = 0.35, threshold: float = 0.65) -> DataFrame:

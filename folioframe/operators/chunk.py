@@ -284,12 +284,15 @@ def semantic_chunks(documents: DataFrame, max_tokens: int = 500, overlap_tokens:
     def texts(sentences: Column) -> Column:
         sizes = F.transform(sentences, lambda ws: F.size(ws))
         chunks = X.let(_spans(sizes, max_tokens, overlap_tokens), lambda spans: _grouped(spans, max_tokens, min_tokens))
-        return X.let(F.flatten(sentences), lambda words: F.transform(chunks, lambda c: F.array_join(F.flatten(F.transform(
-            c["spans"], lambda s: F.slice(words, s["first"] + 1, s["stop"] - s["first"]))), " ")))
-
-    rows = documents.select("document_id", normalize_lines(F.col("text")).alias("text")).select("document_id", said.alias("ss")).filter(F.size("ss") > 0)
-    made = rows.select("document_id", F.posexplode_outer(X.let(F.col("ss"), texts)).alias("chunk_index", "text")).filter("chunk_index IS NOT NULL")
-    return made.withColumn("token_count", X.tokens_by_words(F.col("text")))
+        return X.let(F.flatten(sentences), lambda words: F.transform(chunks, lambda c: F.struct(
+            F.array_join(F.flatten(F.transform(
+                c["spans"], lambda s: F.slice(words, s["first"] + 1, s["stop"] - s["first"]))), " ").alias("text"),
+            _cost(c["n"]).alias("token_count"))))
+
+    # A filter on the sentences here would be pushed below them and split every text twice.
+    rows = documents.select("document_id", normalize_lines(F.col("text")).alias("text")).select("document_id", said.alias("ss"))
+    made = rows.select("document_id", F.posexplode_outer(X.let(F.col("ss"), texts)).alias("chunk_index", "c"))
+    return made.filter("chunk_index IS NOT NULL").select("document_id", "chunk_index", "c.text", "c.token_count")
 
 
 # -- links and trees ----------------------------------------------------------------------

@@ -226,9 +226,8 @@ def contradiction_pairs(rows: DataFrame, similarity: float = 0.35, threshold: fl
     row for queries of at most ROWS_TOGETHER rows, which any result list has, and on their rare
     tokens for larger ones. No limit on the number of pairs.
     """
-    told = rows.select("query_id", "chunk_id", F.array_sort(stance_tokens(F.col("text"))).alias("tokens")).filter(F.size("tokens") > 0)
     # Written once: the texts behind the tokens are costly and both ways read them.
-    told = cut_lineage(told)
+    told = cut_lineage(rows.select("query_id", "chunk_id", F.array_sort(stance_tokens(F.col("text"))).alias("tokens"))).filter(F.size("tokens") > 0)
     few = told.groupBy("query_id").agg((F.count(F.lit(1)) <= ROWS_TOGETHER).alias("few"))
     placed = told.join(few, "query_id")
 

@@ -76,6 +76,13 @@ def build_lists(vectors: DataFrame, path: str, dim: int, lists: int | None = Non
     sample that reaches the driver has SAMPLE vectors for each, chosen by a hash of their ids.
     Vectors that are null, of another dimension or not finite are left out.
     """
+    index = fit_lists(vectors, path, dim, lists)
+    add_vectors(index, vectors)
+    return index
+
+
+def fit_lists(vectors: DataFrame, path: str, dim: int, lists: int | None = None) -> VectorLists:
+    """An index without vectors whose centroids are fitted on a sample of ``vectors``."""
     spark = vectors.sparkSession
     valid = vectors.filter(I.valid_vector(F.col("vector"), dim))
     lists = lists or int(min(MOST_LISTS, max(1, np.sqrt(valid.count()))))
@@ -84,9 +91,7 @@ def build_lists(vectors: DataFrame, path: str, dim: int, lists: int | None = Non
     centroids = fitted_centroids(matrix, lists)
     rows = [(i, c.tolist()) for i, c in enumerate(centroids)]
     spark.createDataFrame(rows, "list int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
-    index = VectorLists(spark, path, centroids)
-    add_vectors(index, vectors)
-    return index
+    return VectorLists(spark, path, centroids)
 
 
 def open_lists(spark: SparkSession, path: str) -> VectorLists:

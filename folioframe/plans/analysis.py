@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioframe.functions import ids
@@ -18,6 +20,7 @@ from folioframe.plans.evidencing import APOS, SENT, WORDS, quoted
 from folioframe.plans.ingest import sq
 from folioframe.plans.registry import cte, query
 from folioframe.plans.retrieval import _hash_vectors
+from folioframe.session import checkpoint_dir
 from folioframe.streaming import streams as ST
 
 # -- ranking metrics --------------------------------------------------------------------
@@ -397,6 +400,18 @@ def _(c):
     return R.novelty(items, 12)
 
 
+@query("novelty_of_items", """
+WITH p AS (SELECT i.vec_id AS item_id, j.vec_id AS earlier_id, round(list_dot_product(i.embedding::DOUBLE[], j.embedding::DOUBLE[]), 6) AS similarity
+  FROM embeddings i JOIN embeddings j ON j.vec_id % 12 < i.vec_id % 12),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, earlier_id) = 1),
+f AS (SELECT vec_id AS item_id, vec_id % 12 AS period, earlier_id, round(1.0 - least(1.0, greatest(0.0, coalesce(similarity, 0.0))), 6) AS novelty
+  FROM embeddings LEFT JOIN b ON item_id = vec_id)
+SELECT *, CASE WHEN novelty >= 0.8 THEN 'very_high' WHEN novelty >= 0.6 THEN 'high' WHEN novelty >= 0.4 THEN 'moderate' ELSE 'low' END AS level FROM f""")
+def _(c):
+    items = c.vectors.select(F.col("chunk_id").alias("item_id"), (F.col("chunk_id") % 12).cast("int").alias("period"), "vector")
+    return R.novelty_of_items(items, f"{checkpoint_dir(c.spark).rstrip('/')}/novelty-{uuid.uuid4().hex}", 64)
+
+
 cte("frontier", """SELECT topic, coalesce(momentum, 0.0) AS momentum, coalesce(convergence, 0.0) AS convergence, support, counter_signals, periods FROM (
   SELECT topic, arg_max(momentum, year) AS momentum, sum(papers)::BIGINT AS support, count(*) FILTER (direction = 'declining') AS counter_signals, count(*) AS periods FROM (
     SELECT *, round(avg(growth) OVER (PARTITION BY topic ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS momentum FROM topic_growths) GROUP BY 1)

@@ -326,12 +326,17 @@ def _(c):
     return V.contradictions(_items(c), 0.1)
 
 
+cte("stance_sets", """SELECT query_id, list_sort(ts) AS tokens, min(chunk_id) AS id, any_value(neg) AS neg, any_value(pos) AS pos, count(*) AS copies
+  FROM stances WHERE len(ts) > 0 GROUP BY 1, 2""", "stances")
+
+
 @query("contradiction_pairs", """
-SELECT query_id, count(*)::BIGINT AS pairs, round(max(similarity), 6) AS similarity, round(max(contradiction), 6)::DOUBLE AS contradiction FROM contra GROUP BY 1""", "contra")
+SELECT a.query_id, a.id AS a, b.id AS b, round(n / (len(a.tokens) + len(b.tokens) - n), 6) AS similarity,
+  (0.7 + CASE WHEN a.pos <> b.pos THEN 0.2 ELSE 0 END)::DOUBLE AS contradiction, a.copies * b.copies AS pairs
+FROM stance_sets a JOIN stance_sets b ON a.query_id = b.query_id AND a.id < b.id AND a.neg <> b.neg,
+  LATERAL (SELECT len(list_intersect(a.tokens, b.tokens)) AS n) WHERE n / (len(a.tokens) + len(b.tokens) - n) >= 0.1 - 1e-9""", "stance_sets")
 def _(c):
-    p = V.contradiction_pairs(_items(c), 0.1)
-    return p.groupBy("query_id").agg(
-        F.sum("pairs").alias("pairs"), F.max("similarity").alias("similarity"), F.max("contradiction").alias("contradiction"))
+    return V.contradiction_pairs(_items(c), 0.1)
 
 
 TAILS = (" improves results", " performs worse than x", "", " increased and harms", " is better than y")

@@ -281,10 +281,11 @@ def _graph(c):
 
 
 @query("build_graph", """
-SELECT 'node' AS part, type, count(*) AS n FROM g_nodes GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM g_edges GROUP BY 2""", "g_nodes", "g_edges")
+SELECT 'node' AS part, type, id, NULL::VARCHAR AS other FROM g_nodes UNION ALL SELECT 'edge', type, src, dst FROM g_edges""", "g_nodes", "g_edges")
 def _(c):
     nodes, edges = _graph(c)
-    return nodes.groupBy(F.lit("node").alias("part"), "type").agg(F.count(F.lit(1)).alias("n")).unionByName(edges.groupBy(F.lit("edge").alias("part"), "type").agg(F.count(F.lit(1)).alias("n")))
+    return nodes.select(F.lit("node").alias("part"), "type", "id", F.lit(None).cast("string").alias("other")).unionByName(
+        edges.select(F.lit("edge").alias("part"), "type", F.col("src").alias("id"), F.col("dst").alias("other")))
 
 
 @query("traverse", """
@@ -481,21 +482,20 @@ def _(c):
 
 
 @query("collection_add", """
-SELECT collection_id, count(*) AS papers FROM (SELECT * FROM coll_items UNION SELECT l_suppkey, l_partkey * 2 FROM lineitem WHERE l_suppkey IN (SELECT c_custkey FROM customer) AND l_partkey * 2 IN (SELECT p_partkey FROM part)) GROUP BY 1""", "coll_items")
+SELECT * FROM coll_items UNION SELECT l_suppkey, l_partkey * 2 FROM lineitem WHERE l_suppkey IN (SELECT c_custkey FROM customer) AND l_partkey * 2 IN (SELECT p_partkey FROM part)""", "coll_items")
 def _(c):
     colls, items = _collections(c)
     wanted = c.table("lineitem").select(F.col("l_suppkey").alias("collection_id"), (F.col("l_partkey") * 2).alias("paper_id"))
-    merged = L.collection_add(items, wanted, colls, c.table("part").select(F.col("p_partkey").alias("paper_id")))
-    return merged.groupBy("collection_id").agg(F.count(F.lit(1)).alias("papers"))
+    return L.collection_add(items, wanted, colls, c.table("part").select(F.col("p_partkey").alias("paper_id")))
 
 
 @query("collection_remove", """
-SELECT collection_id, count(*) AS papers FROM coll_items WHERE (collection_id, paper_id) NOT IN (SELECT (o_custkey, l_partkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 25) GROUP BY 1""", "coll_items")
+SELECT collection_id, paper_id FROM coll_items WHERE (collection_id, paper_id) NOT IN (SELECT (o_custkey, l_partkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 25)""", "coll_items")
 def _(c):
     items = _collections(c)[1]
     lines = c.table("lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("paper_id"))
     gone = c.table("orders").select("o_orderkey", F.col("o_custkey").alias("collection_id")).join(lines, "o_orderkey").select("collection_id", "paper_id").distinct()
-    return L.collection_remove(items, gone).groupBy("collection_id").agg(F.count(F.lit(1)).alias("papers"))
+    return L.collection_remove(items, gone).select("collection_id", "paper_id")
 
 
 @query("collection_overlap", """

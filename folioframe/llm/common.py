@@ -84,6 +84,34 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return state.select("v", "root")
         state = state.select("v", "root")
 
+
+
+def contracted(edges: DataFrame, label: str) -> DataFrame:
+    """``v, root`` as ``components`` gives them, by contraction.
+
+    Every vertex points to its least neighbour, pointers are followed to their ends by doubling,
+    and only edges between different ends are left for the next level, so the edges inside a
+    crowd are read once.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), f"{label}-edges")
+    state = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("root")), f"{label}-roots")
+    while True:
+        up = state.select(F.col("v").alias("root"), F.col("root").alias("above"))
+        state = stored(state.join(up, "root").select("v", F.col("above").alias("root"), (F.col("above") < F.col("root")).alias("moved")), f"{label}-roots")
+        still = state.filter("moved").isEmpty()
+        state = state.select("v", "root")
+        if still:
+            break
+    ends = [state.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
+    rest = stored(
+        both.filter("a > b").join(ends[0], "a").join(ends[1], "b").filter("root_a <> root_b")
+        .select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b")).distinct(), f"{label}-rest")
+    if rest.isEmpty():
+        return state
+    above = contracted(rest, label).select(F.col("v").alias("root"), F.col("root").alias("top"))
+    return stored(state.join(above, "root", "left").select("v", F.coalesce("top", "root").alias("root")), f"{label}-roots")
+
+
 def held_out(doc_id: str, parts: int) -> Column:
     """Whether a document is kept from training: its crc32 leaves 2. A null id is not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == 2, F.lit(False))

@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import components, stored
+from folioframe.llm.common import components, contracted, stored
 from folioframe.session import ship_package
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 3, 64
@@ -311,9 +311,9 @@ def partners(group: np.ndarray, values: np.ndarray, signs: np.ndarray) -> tuple[
     """Of each lane the likeliest copies among those before and those behind it in its group.
 
     SimHash distances are compared bit-sliced; pairs within FAR bits are judged by how many
-    min-hashes agree, and from LIKELY on the best PARTNERS of either side are proposed. Behind
-    them, marked false, comes each lane with the first of those that a chain of likely pairs
-    connects it with. Groups have BLOCK lanes at most, so a lane gives few pairs.
+    min-hashes agree, and from LIKELY on the best PARTNERS of either side are proposed, with
+    that share. Behind them, with share 0, comes each lane with the first of those that a chain
+    of likely pairs connects it with. Groups have BLOCK lanes at most, so a lane gives few pairs.
     """
     n = len(values)
     edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
@@ -336,8 +336,8 @@ def partners(group: np.ndarray, values: np.ndarray, signs: np.ndarray) -> tuple[
             partner[side, seat[better], one[better]] = other[better]
     side, seat, lane = np.nonzero(partner >= 0)
     moved = np.flatnonzero(root != np.arange(n))
-    chosen = np.arange(len(lane) + len(moved)) < len(lane)
-    return np.concatenate((lane, moved)), np.concatenate((partner[side, seat, lane], root[moved])), chosen
+    share = np.concatenate((best[side, seat, lane], np.zeros(len(moved))))
+    return np.concatenate((lane, moved)), np.concatenate((partner[side, seat, lane], root[moved])), share
 
 
 def bridges(group: np.ndarray, block: np.ndarray, part: np.ndarray, values: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,13 +375,13 @@ def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[1:] = np.any([cols[x][1:] != cols[x][:-1] for x in ("key", "i", "j")], axis=0)
         group, fps, ids = np.cumsum(fresh), cols["fp"].view(np.uint64), cols["id"]
         if (cols["i"] == cols["j"]).all():
-            one, other, chosen = partners(group, fps, signs)
+            one, other, share = partners(group, fps, signs)
         else:
             one, other = bridges(group, cols["block"], cols["part"], fps, signs)
-            chosen = np.zeros(len(one), bool)
+            share = np.zeros(len(one))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.maximum(ids[one], ids[other])), pa.array(np.minimum(ids[one], ids[other])), pa.array(chosen)],
-            names=["a", "b", "chosen"])
+            [pa.array(np.maximum(ids[one], ids[other])), pa.array(np.minimum(ids[one], ids[other])), pa.array(share)],
+            names=["a", "b", "share"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -398,7 +398,18 @@ def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
-PAIRS = "a long, b long, chosen boolean"
+PAIRS = "a long, b long, share double"
+
+
+def choose(pairs: DataFrame) -> DataFrame:
+    """``a, b, chosen``: of all keys' ``pairs(a, b, share)``, each once, the best PARTNERS of a set
+    on either side are chosen; those with share 0 stay for the connections, the rest goes."""
+    once = pairs.groupBy("a", "b").agg(F.max("share").alias("share"), F.min("share").alias("least"))
+    for side, other in (("a", "b"), ("b", "a")):
+        order = Window.partitionBy(side).orderBy(F.desc("share"), other)
+        once = once.withColumn(f"at_{side}", F.row_number().over(order))
+    chosen = (F.col("share") > 0) & (F.least("at_a", "at_b") <= PARTNERS)
+    return once.select("a", "b", chosen.alias("chosen"), "least").filter(F.col("chosen") | (F.col("least") == 0)).drop("least")
 
 
 def likely_pairs(sets: DataFrame) -> DataFrame:
@@ -418,7 +429,7 @@ def likely_pairs(sets: DataFrame) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         """``rows(key, i, j, block, part, id)`` with their sketches, compared."""
         met = rows.join(sketched, "id").select("key", "i", "j", "block", "part", "fp", "id", "sign")
-        return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(proposed, PAIRS).distinct()
+        return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(proposed, PAIRS)
 
     def block(n: str) -> Column:
         return F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)).alias("block")
@@ -428,7 +439,7 @@ def likely_pairs(sets: DataFrame) -> DataFrame:
         return rows.select("key", "id", block("n")).select(
             "key", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.col("id").alias("part"), "id")
 
-    found = stored(dealt(alone(keyed.join(groups, "key"))), "copies-likely")
+    found = stored(choose(dealt(alone(keyed.join(groups, "key")))), "copies-likely")
     large = groups.filter(F.col("n") > BLOCK)
     if large.isEmpty():
         return found
@@ -436,7 +447,7 @@ def likely_pairs(sets: DataFrame) -> DataFrame:
 
     def parted() -> DataFrame:
         """``crowded`` with the part of each set by the pairs found so far."""
-        parts = components(found.select("a", "b"), "copies-coarse").select(F.col("v").alias("id"), F.col("root").alias("part"))
+        parts = contracted(found.select("a", "b"), "copies-coarse").select(F.col("v").alias("id"), F.col("root").alias("part"))
         return stored(crowded.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "copies-crowded")
 
     places = parted()
@@ -445,7 +456,7 @@ def likely_pairs(sets: DataFrame) -> DataFrame:
         several = stored(heads.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "copies-several")
         if several.isEmpty():
             return found
-        fresh = stored(dealt(alone(heads.select("key", "id").join(several, "key"))), "copies-likely")
+        fresh = stored(choose(dealt(alone(heads.select("key", "id").join(several, "key")))), "copies-likely")
         found = found.union(fresh)
         before, places = places.select("part").distinct().count(), parted()
         if several.filter(F.col("n") > BLOCK).isEmpty() or places.select("part").distinct().count() == before:
@@ -456,7 +467,7 @@ def likely_pairs(sets: DataFrame) -> DataFrame:
     apart = (F.col("low_i") != F.col("high_i")) | (F.col("low_j") != F.col("high_j")) | (F.col("low_i") != F.col("low_j"))
     across = one.join(other, (one["key"] == other["key"]) & (F.col("i") < F.col("j")) & apart).select(
         one["key"], "i", "j", F.explode(F.array("i", "j")).alias("block"))
-    return found.union(stored(dealt(placed.join(across, ["key", "block"])), "copies-likely"))
+    return found.union(stored(choose(dealt(placed.join(across, ["key", "block"]))), "copies-likely"))
 
 
 def gram_sets(text: Column) -> Column:
@@ -559,9 +570,9 @@ def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     pairs = stored(likely.filter("chosen").select("a", "b").union(near).union(same).distinct(), "copies-pairs")
     texts = keyed.select(F.col("_llm_key").alias("id"), "text")
     alike = stored(verified(pairs, texts, least), "copies-alike")
-    coarse = components(likely.select("a", "b").union(pairs), "copies-near")
-    missed = stored(missed_links(sets, coarse, components(alike, "copies-parts"), texts, least), "copies-missed")
-    joined = components(alike.union(missed).union(
+    coarse = contracted(likely.select("a", "b").union(pairs), "copies-near")
+    missed = stored(missed_links(sets, coarse, contracted(alike, "copies-parts"), texts, least), "copies-missed")
+    joined = contracted(alike.union(missed).union(
         marked.join(sets.select("content", F.col("id").alias("first")), "content").filter("id <> first").select(F.col("id"), F.col("first"))),
         "copies-groups")
     dropped = stored(joined.filter("root <> v").select(F.col("v").alias("_llm_key")), "copies-dropped")

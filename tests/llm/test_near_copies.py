@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from folioframe.llm import simhash
+from folioframe.llm.common import components, contracted
 from tests.conftest import ROOT
 
 
@@ -64,3 +65,14 @@ def test_groups_of_the_given_table(spark, folder):
                 simhash.united(root, np.array([place[i]]), np.array([place[j]]))
     kept = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
     assert kept == {ids[k] for k in np.flatnonzero(root == np.arange(len(ids)))}
+
+
+def test_contraction_finds_the_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000 - i, 1000 - i - 1) for i in range(200)] + [(2000, 2000)]
+    edges += [tuple(map(int, e)) for e in rng.integers(3000, 3400, (150, 2))] + [(5000, 5000 + i) for i in range(1, 400)]
+    frame = spark.createDataFrame(edges + edges[:50], "a long, b long")
+    got = {r.v: r.root for r in contracted(frame, "test").collect()}
+    want = {r.v: r.root for r in components(frame.filter("a <> b"), "test").collect()}
+    assert got == want
+    assert contracted(frame.limit(0), "test").collect() == []

@@ -33,7 +33,7 @@ from folioframe.session import ship_package
 SKIPPABLE, TABLE, FOOTER, CHECKED = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)
 LEVEL = 3
-TOGETHER, REMEMBERED = 256, 400_000
+TOGETHER, REMEMBERED = 256, 200_000
 STOPS = (".", ",")
 ENCODED = "doc_id long, n_tokens long, plain long, checksum long, frame binary"
 WRITTEN = "part long, path string, documents long, tokens long"

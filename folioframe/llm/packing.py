@@ -33,7 +33,8 @@ SIZE, END = 1024, 2
 REMEMBERED, TOGETHER, HELD = 400_000, 256, 1 << 20
 #: Patterns that join the fit at a time, and what counts as no gain.
 JOINING, LEAST_GAIN = 96, 1e-9
-STOPS = (".", ",")
+# ASCII marks but for the apostrophe, which may join letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>, task int, place long"
 SLOTS = "length long, low long, high long, each long, first long, at long"
 # The white space of the vocabulary's splitting rule.
@@ -52,6 +53,41 @@ def keeps_spaces(vocabulary: str) -> bool:
         and all(t["content"].startswith("<|") for t in rules.get("added_tokens", [])))
 
 
+class Units(dict):
+    """The ids of words and of what is between them; those that are asked for are remembered."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.tokenize, self.letters = tokenizer, tokenizer.model.tokenize, byte_letters()
+
+    def __missing__(self, unit: str) -> bytes:
+        spaced = unit[:1] == " "
+        word = unit[1:] if spaced else unit
+        data = None
+        if word.isalpha():
+            data = self.of_letters(word, spaced)
+        # Marks behind letters are one piece of their own.
+        elif (base := word.rstrip(MARKS)).isalpha():
+            data = self[unit[:len(unit) - len(word) + len(base)]] + self[word[len(base):]]
+        if data is None:
+            data = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        self[unit] = data
+        return data
+
+    def of_letters(self, word: str, spaced: bool) -> bytes | None:
+        """The ids of letters below 256 alone, straight from the model."""
+        if word.isascii():
+            seen = "Ġ" + word if spaced else word
+        else:
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+            seen = ("Ġ" if spaced else "") + word.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.tokenize(seen)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class SpacedEncoder:
     """Ids of whole texts, as bytes of little-endian 32-bit numbers.
 
@@ -67,19 +103,12 @@ class SpacedEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.by_word = keeps_spaces(vocabulary)
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = Units(self.tokenizer)
 
     def units(self, text: str) -> list[str]:
         """The words of a text, with the space before them, and what is between."""
         if " ".join(text.split()) == text.replace("\n", " "):
-            out: list[str] = []
-            for number, line in enumerate(text.split("\n")):
-                words = line.replace(" ", "\0 ").split("\0")
-                if number:
-                    out.append("\n")
-                out += words
-            return out
+            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         out, spaced = [], ""
         for number, part in enumerate(SPACES.split(text)):
             if number % 2 == 0:
@@ -96,47 +125,19 @@ class SpacedEncoder:
             out[-3:] = [out[-3] + out[-2]]
         return out
 
-    def whole_letters(self, unit: str) -> str | None:
-        """A unit of letters below 256 alone as the model sees it, with its space."""
-        word = unit[1:] if unit[:1] == " " else unit
-        if not word.isalpha():
-            return None
-        if word.isascii():
-            return f"Ġ{word}" if len(word) < len(unit) else word
-        try:
-            word.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        return unit.encode().decode("latin-1").translate(self.letters)
-
     def encoded(self, texts: list[str]) -> list[bytes]:
         whole = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in whole]
 
-    def learn(self, units: set[str]) -> None:
-        tokenize, rest = self.tokenizer.model.tokenize, []
-        for unit in units:
-            if (word := self.whole_letters(unit)) is not None:
-                ids = [token.id for token in tokenize(word)]
-                self.known[unit] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(unit)
-        for unit, data in zip(rest, self.encoded(rest) if rest else [], strict=True):
-            self.known[unit] = data
-
     def of(self, texts: list[str]) -> list[bytes]:
         plain = [self.by_word and "<|" not in t and "\0" not in t for t in texts]
         special = iter(self.encoded([t for t, p in zip(texts, plain, strict=True) if not p]))
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        units = [self.units(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        fresh = set().union(*units).difference(known)
-        ended = {u for u in fresh if u[-1:] in STOPS and self.whole_letters(u[:-1]) is not None}
-        self.learn((fresh - ended | {u[:-1] for u in ended} | set(STOPS)).difference(known))
-        for unit in ended:
-            known[unit] = known[unit[:-1]] + known[unit[-1]]
-        return [b"".join(map(known.__getitem__, own)) if p else next(special) for own, p in zip(units, plain, strict=True)]
+        out = []
+        for text, own in zip(texts, plain, strict=True):
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            out.append(b"".join(map(self.known.__getitem__, self.units(text))) if own else next(special))
+        return out
 
 
 _encoders: dict[str, SpacedEncoder] = {}

@@ -87,17 +87,19 @@ def resolve_entities(links: DataFrame) -> DataFrame:
 
     Each round takes the least label over every identifier, then over every record, then jumps
     to the label of the label. Both steps are aggregations, so a value shared by very many
-    records costs one partial result per task. Ends when nothing changes.
+    records costs one partial result per task. Ends when nothing changes. The joins are merge
+    joins: tables just under the threshold would be broadcast anew in every round, and the driver
+    holds each of them until it next collects garbage.
     """
     pairs = cut_lineage(links.select("record", "value").distinct())
     labels = cut_lineage(pairs.select("record", F.col("record").alias("entity")).distinct())
     while True:
-        per_value = pairs.join(labels, "record").groupBy("value").agg(F.min("entity").alias("entity"))
-        per_record = pairs.join(per_value, "value").groupBy("record").agg(F.min("entity").alias("near"))
+        per_value = pairs.join(labels.hint("merge"), "record").groupBy("value").agg(F.min("entity").alias("entity"))
+        per_record = pairs.join(per_value.hint("merge"), "value").groupBy("record").agg(F.min("entity").alias("near"))
         hop = labels.select(F.col("record").alias("near"), F.col("entity").alias("far"))
-        moved = per_record.join(hop, "near", "left").select("record", F.least("near", "far").alias("entity"))
+        moved = per_record.join(hop.hint("merge"), "near", "left").select("record", F.least("near", "far").alias("entity"))
         fresh = cut_lineage(moved)
-        changed = fresh.join(labels.withColumnRenamed("entity", "old"), "record").filter("entity <> old").limit(1).count()
+        changed = fresh.join(labels.withColumnRenamed("entity", "old").hint("merge"), "record").filter("entity <> old").limit(1).count()
         labels = fresh
         if not changed:
             return labels

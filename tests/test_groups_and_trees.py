@@ -70,3 +70,18 @@ def test_circles_and_orphans(spark):
     tree = K.document_tree(spark.createDataFrame(rows, "node_id long, parent_id long")).collect()
     assert {(r.node_id, r.parent_id, r.depth) for r in tree} == {(1, None, 1), (2, 1, 2), (3, 2, 3), (4, None, 1), (5, 4, 2), (6, None, 1)}
     assert K.document_tree(spark.createDataFrame([], "node_id long, parent_id long")).collect() == []
+
+
+def test_no_round_of_resolving_broadcasts_a_table(spark, monkeypatch, capsys):
+    from folioframe.operators import resolve
+
+    original = resolve.cut_lineage
+
+    def shown(df):
+        df.explain()
+        return original(df)
+
+    monkeypatch.setattr(resolve, "cut_lineage", shown)
+    links = spark.range(40).selectExpr("id AS record", "explode(array(id DIV 2, 100 + (id + 1) DIV 2)) AS n").selectExpr("record", "CAST(n AS string) AS value")
+    assert {r["entity"] for r in resolve.resolve_entities(links).collect()} == {0}
+    assert "Broadcast" not in capsys.readouterr().out

@@ -110,3 +110,18 @@ def test_no_requests_and_no_chunks(spark, corpus):
     one = spark.createDataFrame([(1, "a b", "hybrid", 3, 0.5, 0.5, True)], schema)
     answers = R.search_requests(one, corpus.chunks.limit(0), none)
     assert answers.results.collect() == [] and answers.stages.first().eligible == 0
+
+
+def test_bm25_scores_are_finished_where_chunks_are_read(spark, capsys):
+    chunks = spark.createDataFrame(
+        [(f"d{i:02}", None if i % 9 == 8 else " ".join(["Blue", "red", "green"][i % 3:] + ["red"] * (i % 4) + [f"w{i % 5}"]), {"lang": "en" if i % 2 else "de"})
+         for i in range(40)], "chunk_id string, text string, metadata map<string,string>").repartition(3)
+    queries = spark.createDataFrame([(1, "blue red red"), (2, "w3 absent"), (3, "absent"), (4, None)], "query_id long, text string")
+    for wanted in (None, {"lang": "de"}):
+        scored = S.bm25_over_texts(queries, chunks).join(S.I.metadata_filter(chunks, wanted or {}).select("chunk_id"), "chunk_id")
+        plain = S.top_k(scored, "query_id", 7, *S.best()).select("query_id", "chunk_id", "score", "rank")
+        found = S.bm25_search(queries, chunks, 7, wanted)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    found.explain()
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", capsys.readouterr().out)
+    assert dealt and not any("chunk_id" in keys for keys in dealt)

@@ -353,7 +353,8 @@ def group_findings(items: DataFrame, topics: tuple[str, ...], report: str = "que
     """Sections of every report: the claims of a topic joined in order, with their ids.
 
     ``items``: ``report, position, id, claim`` and topic columns, of which the first non-blank
-    counts. Repeated ids are dropped; without an id, repeated claims. A report holds no more
+    counts. Repeated ids are dropped; without an id, repeated claims. A section none of whose claims
+    has an id has null for its ids. A report holds no more
     than the capped claims of one query, so a section is bounded.
     """
     blank = F.length(F.trim(F.coalesce("claim", F.lit("")))) == 0
@@ -364,7 +365,8 @@ def group_findings(items: DataFrame, topics: tuple[str, ...], report: str = "que
     ).groupBy(report, "key").agg(F.min_by("r", "r.position").alias("r")).select(report, "r.*")
     listed = F.array_sort(F.collect_list(F.struct("position", "id", "claim")))
     return first.groupBy(report, "topic").agg(listed.alias("xs")).select(
-        report, "topic", F.size("xs").alias("statements"), F.array_join("xs.claim", " ").alias("content"), F.array_join("xs.id", ",").alias("evidence_ids"))
+        report, "topic", F.size("xs").alias("statements"), F.array_join("xs.claim", " ").alias("content"),
+        F.when(F.exists("xs.id", lambda i: i.isNotNull()), F.array_join("xs.id", ",")).alias("evidence_ids"))
 
 
 def comparison_table(claims: DataFrame) -> DataFrame:

@@ -85,3 +85,10 @@ def test_no_round_of_resolving_broadcasts_a_table(spark, monkeypatch, capsys):
     links = spark.range(40).selectExpr("id AS record", "explode(array(id DIV 2, 100 + (id + 1) DIV 2)) AS n").selectExpr("record", "CAST(n AS string) AS value")
     assert {r["entity"] for r in resolve.resolve_entities(links).collect()} == {0}
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_a_section_without_any_id_has_null_ids(spark):
+    items = spark.createDataFrame(
+        [(1, 0, None, "first", "a"), (1, 1, "x", "second", "b"), (1, 2, None, "third", "b")], "query_id long, position long, id string, claim string, topic string")
+    found = {r["topic"]: (r["content"], r["evidence_ids"]) for r in V.group_findings(items, ("topic",)).collect()}
+    assert found == {"a": ("first", None), "b": ("second third", "x")}

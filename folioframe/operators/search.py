@@ -690,15 +690,24 @@ def keyword_paper_search(queries: DataFrame, papers: DataFrame, stop: list[str],
 
     Words match in full, or in part either way when the search word has four letters or more.
     Partial matches are found between the distinct words of both sides, not between texts.
+    Papers of equal title and abstract differ in identifiers and order only: of each such group
+    the first ``k`` are scored, and every paper with an identifier hit, which can only raise it.
     """
     q = queries.select("query_id", X.squeeze(F.lower("text")).alias("q"), paper_query_terms(F.col("text"), stop).alias("terms"))
     terms = q.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    p = papers.filter(F.length(X.squeeze(F.coalesce("abstract", F.lit("")))) > 0).select(
+    order = (F.desc("citation_count"), F.desc("year"), F.desc("paper_id"))
+    every = papers.filter(F.length(X.squeeze(F.coalesce("abstract", F.lit("")))) > 0).select(
         "paper_id", "citation_count", "year",
         X.squeeze(F.lower(F.coalesce("title", F.lit("")))).alias("title"),
         X.squeeze(F.lower("abstract")).alias("abstract"),
         X.squeeze(F.lower(F.concat_ws(" ", "arxiv_id", "doi", "pmid", "provider_paper_id"))).alias("ids"),
     )
+    wanted = terms.select("term").distinct()
+    named = cut_lineage(contains_join(
+        wanted.select(F.col("term").alias("needle_id"), F.col("term").alias("needle")),
+        every.select(F.col("paper_id").alias("hay_id"), F.col("ids").alias("text"))))
+    heads = top_k(every, ["title", "abstract"], k, *order, rank="seat").select("paper_id")
+    p = cut_lineage(every.join(heads.unionByName(named.select(F.col("hay_id").alias("paper_id"))).distinct(), "paper_id", "left_semi"))
     fields = p.select(
         "paper_id",
         F.explode(F.array(
@@ -707,7 +716,6 @@ def keyword_paper_search(queries: DataFrame, papers: DataFrame, stop: list[str],
         )).alias("f"),
     ).select("paper_id", "f.field", F.explode(F.array_distinct("f.words")).alias("token"))
     vocabulary = fields.select("token").distinct()
-    wanted = terms.select("term").distinct()
     inside = wanted.filter(F.length("term") >= 4).select(
         "term",
         F.explode(F.array_distinct(F.flatten(F.transform(
@@ -729,9 +737,7 @@ def keyword_paper_search(queries: DataFrame, papers: DataFrame, stop: list[str],
              F.count_if(F.col("field") == "abstract").alias("abstract_hits"))
     )
     id_hits = (
-        contains_join(wanted.select(F.col("term").alias("needle_id"), F.col("term").alias("needle")),
-                      p.select(F.col("paper_id").alias("hay_id"), F.col("ids").alias("text")))
-        .select(F.col("needle_id").alias("term"), F.col("hay_id").alias("paper_id"))
+        named.select(F.col("needle_id").alias("term"), F.col("hay_id").alias("paper_id"))
         .join(terms, "term").groupBy("query_id", "paper_id", "n_terms").agg(F.count(F.lit(1)).alias("id_hits"))
     )
     titled = contains_join(q.select(F.col("query_id").alias("needle_id"), F.col("q").alias("needle")),
@@ -752,5 +758,5 @@ def keyword_paper_search(queries: DataFrame, papers: DataFrame, stop: list[str],
         .otherwise(weighted)
     )
     scored = found.withColumn("score", r6(clamp01(score))).filter("score > 0")
-    return top_k(scored, "query_id", k, F.desc("score"), F.desc("citation_count"), F.desc("year"), F.desc("paper_id")).select(
+    return top_k(scored, "query_id", k, F.desc("score"), *order).select(
         *keys, "score", "rank")

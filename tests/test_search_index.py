@@ -125,3 +125,17 @@ def test_bm25_scores_are_finished_where_chunks_are_read(spark, capsys):
     found.explain()
     dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", capsys.readouterr().out)
     assert dealt and not any("chunk_id" in keys for keys in dealt)
+
+
+def test_papers_of_equal_texts_are_scored_k_at_a_time(spark, monkeypatch):
+    sizes = []
+    original = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: (lambda kept: sizes.append(kept.count()) or kept)(original(df)))
+    papers = spark.range(300).selectExpr(
+        "id AS paper_id", "'large ring' AS title", "concat('steel ', id % 2) AS abstract", "id % 7 AS citation_count", "2000 AS year",
+        "CAST(NULL AS string) AS arxiv_id", "CAST(NULL AS string) AS doi", "CAST(NULL AS string) AS pmid", "concat('part-', id) AS provider_paper_id")
+    queries = spark.createDataFrame([("a", "ring part-299"), ("b", "steel"), ("c", "large ring")], "query_id string, text string")
+    found = {}
+    for r in S.keyword_paper_search(queries, papers, [], 3).orderBy("rank").collect():
+        found.setdefault(r["query_id"], []).append(r["paper_id"])
+    assert found == {"a": [299, 293, 286], "b": [293, 286, 279], "c": [293, 286, 279]} and sizes[1] == 7

@@ -666,11 +666,16 @@ def paper_query_terms(text: Column, stop: list[str]) -> Column:
     return F.when(F.size(useful) > 0, useful).otherwise(long_enough)
 
 
+# needles that are sent to all tasks at once
+NEEDLES = 10_000
+
+
 def contains_join(needles: DataFrame, hay: DataFrame, size: int = 4) -> DataFrame:
     """``needle_id, hay_id`` where the needle is part of the text.
 
     Both meet on the needle's first characters, then containment is checked; no pair without
-    a common start is ever formed.
+    a common start is ever formed. The texts' grams are never broadcast: their number is not in
+    the size of the files they come from. Up to NEEDLES needles are.
     """
     start = F.least(F.length("needle"), F.lit(size))
     keyed = needles.filter(F.length("needle") > 0).withColumn("gram", F.substr("needle", F.lit(1), start))
@@ -682,7 +687,8 @@ def contains_join(needles: DataFrame, hay: DataFrame, size: int = 4) -> DataFram
                 F.sequence(F.lit(1), F.length("text") - n + 1), lambda p: F.substr(F.col("text"), p, n))
         )))).alias("gram"),
     )
-    return keyed.join(grams, "gram").filter(F.contains("text", "needle")).select("needle_id", "hay_id").distinct()
+    side = "broadcast" if needles.limit(NEEDLES + 1).count() <= NEEDLES else "merge"
+    return grams.join(keyed.hint(side), "gram").filter(F.contains("text", "needle")).select("needle_id", "hay_id").distinct()
 
 
 def keyword_paper_search(queries: DataFrame, papers: DataFrame, stop: list[str], k: int = 10) -> DataFrame:

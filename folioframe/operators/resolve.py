@@ -113,6 +113,13 @@ def resolve_entities(links: DataFrame) -> DataFrame:
 # -- authors ------------------------------------------------------------------------------
 
 
+def _left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key``; rows without it, which match nothing, would all be dealt to one task."""
+    met = left.filter(F.col(key).isNotNull()).join(right, key, "left")
+    rest = left.filter(F.col(key).isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in right.schema if f.name != key})
+    return met.unionByName(rest)
+
+
 def sync_authors(incoming: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Author table and ordered links after taking over the authors of papers.
 
@@ -125,17 +132,21 @@ def sync_authors(incoming: DataFrame, authors: DataFrame) -> tuple[DataFrame, Da
         F.nullif(F.trim("affiliation"), F.lit("")).alias("affiliation"),
     ).filter(F.length("name") > 0).withColumn("folded", F.lower("name"))
     at = F.struct("paper_id", "position")
-    by_orcid = cleaned.filter("orcid IS NOT NULL").groupBy("orcid").agg(F.min_by("folded", at).alias("orcid_name"))
-    keyed = cleaned.join(by_orcid, "orcid", "left").withColumn("key", F.coalesce("orcid_name", "folded")).drop("orcid_name")
 
-    def first_known(name: str) -> Column:
-        return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), at))
+    def first_of(value: str, when: Column) -> Column:
+        return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), when))
 
+    # One row for each spelling of a person, far fewer than rows of papers: only these are joined.
+    spelled = cut_lineage(cleaned.groupBy("folded", "orcid").agg(
+        F.min(at).alias("at"), F.min_by("name", at).alias("name"),
+        F.min(F.when(F.col("affiliation").isNotNull(), at)).alias("placed_at"), first_of("affiliation", at).alias("affiliation")))
+    by_orcid = spelled.filter("orcid IS NOT NULL").groupBy("orcid").agg(F.min_by("folded", "at").alias("orcid_name"))
+    keyed = _left_join_known(spelled, by_orcid, "orcid").withColumn("key", F.coalesce("orcid_name", "folded")).drop("orcid_name")
     people = keyed.groupBy("key").agg(
-        first_known("name").alias("in_name"), first_known("orcid").alias("in_orcid"), first_known("affiliation").alias("in_affiliation"))
+        F.min_by("name", "at").alias("in_name"), first_of("orcid", F.col("at")).alias("in_orcid"), F.min_by("affiliation", "placed_at").alias("in_affiliation"))
     stored_orcid = authors.filter("orcid IS NOT NULL").groupBy(F.lower("orcid").alias("in_orcid")).agg(F.min("author_id").alias("by_orcid"))
     stored_name = authors.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("author_id").alias("by_name"))
-    matched = people.join(stored_orcid, "in_orcid", "left").join(stored_name, "key", "left").withColumn(
+    matched = _left_join_known(people, stored_orcid, "in_orcid").join(stored_name, "key", "left").withColumn(
         "match", F.coalesce("by_orcid", "by_name"))
     fill = matched.filter("match IS NOT NULL").groupBy(F.col("match").alias("author_id")).agg(
         F.min_by("in_orcid", F.when(F.col("in_orcid").isNotNull(), F.col("key"))).alias("f_orcid"),
@@ -147,7 +158,11 @@ def sync_authors(incoming: DataFrame, authors: DataFrame) -> tuple[DataFrame, Da
         F.concat(F.lit("new:"), "key").alias("author_id"), F.col("in_name").alias("name"), F.col("in_orcid").alias("orcid"),
         F.col("in_affiliation").alias("affiliation"))
     who = matched.select("key", F.coalesce(F.col("match").cast("string"), F.concat(F.lit("new:"), "key")).alias("author_id"))
-    links = keyed.join(who, "key").groupBy("paper_id", "author_id").agg(F.min("position").alias("author_order"))
+    # no ORCID is the empty one here, which no cleaned ORCID is, so that rows without are dealt by name
+    mark = F.coalesce("orcid", F.lit("")).alias("mark")
+    meant = keyed.join(who, "key").select("folded", mark, "author_id")
+    links = cleaned.select("paper_id", "position", "folded", mark).join(meant, ["folded", "mark"]).groupBy(
+        "paper_id", "author_id").agg(F.min("position").alias("author_order"))
     return kept.unionByName(new), links
 
 

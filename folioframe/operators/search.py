@@ -75,17 +75,24 @@ def bm25_over_texts(queries: DataFrame, chunks: DataFrame, epsilon: float = 0.25
 TERM_ROWS = 1 << 20
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, wanted: dict[str, object] | None = None) -> DataFrame:
+def word_statistics(chunks: DataFrame) -> tuple[DataFrame, float]:
+    """``term, idf`` of all words and the mean length of a chunk, for several searches of the same chunks."""
+    stats = I.doc_stats(chunks)
+    known = I.with_idf(I.document_frequency(chunks), stats).select("term", "idf")
+    return known, I.corpus_stats(stats).first()["avgdl"] or 1.0
+
+
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, wanted: dict[str, object] | None = None,
+                statistics: tuple[DataFrame, float] | None = None) -> DataFrame:
     """Okapi BM25 top-k; ``wanted`` restricts the candidates before the cut.
 
     All words of a chunk stand in one row, so its scores are finished where the row is read and
     only the ``k`` best of each task and query are shuffled, not every (query, chunk) that share
     a word. The weights of the queries' words are cut by query into blocks of about TERM_ROWS.
+    ``statistics`` are the chunks' ``word_statistics``, where they are known already.
     """
-    stats = I.doc_stats(chunks)
-    known = I.with_idf(I.document_frequency(chunks), stats).select("term", "idf")
+    known, avgdl = statistics or word_statistics(chunks)
     terms = cut_lineage(query_terms(queries).join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    avgdl = I.corpus_stats(stats).first()["avgdl"] or 1.0
     held = I.metadata_filter(chunks, wanted) if wanted else chunks
     said = held.select("chunk_id", X.tokens(F.col("text")).alias("words"))
     blocks = max(1, -(-terms.count() // TERM_ROWS))
@@ -627,11 +634,12 @@ def iterative_search(queries: DataFrame, search: Callable[[DataFrame], DataFrame
     """Search again, with longer texts, for the queries whose result is not convincing.
 
     ``rounds`` is small and fixed. Results of all rounds are merged in order; each query ends
-    with its best confidence and the number of rounds it took.
+    with its best confidence and the number of rounds it took. The run of a round is written once:
+    its confidence, the next round's queries and the merged results all read it.
     """
     pending, lists, seen = queries, [], None
     for number in range(1, rounds + 1):
-        run = search(pending)
+        run = cut_lineage(search(pending))
         lists.append(run)
         judged = pending.join(confidence(run).select("query_id", "confidence"), "query_id", "left").select(
             "query_id", "text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.lit(number).alias("round"),

@@ -357,9 +357,11 @@ def fold_sets(rows: DataFrame, group: list[str], id_col: str, tokens: Column) ->
 def pairwise_jaccard(rows: DataFrame, threshold: float = 0.9, group: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
     """Duplicate pairs, their share and the diversity per group.
 
-    Pairs of equal sets follow from counts; only unequal similar sets are joined.
+    Pairs of equal sets follow from counts; only unequal similar sets are joined. Both the rows'
+    sets and the folded ones are used several times and written once.
     """
-    folded = fold_sets(rows, [group], id_col, X.word_set(F.col("text")))
+    sets = cut_lineage(rows.select(group, id_col, X.word_set(F.col("text")).alias("tokens")))
+    folded = cut_lineage(fold_sets(sets, [group], id_col, F.col("tokens")))
     close = jaccard_pairs(folded, threshold, [group], "id")
     copies = folded.select(group, "id", "copies")
     across = close.join(copies.select(group, F.col("id").alias("a"), F.col("copies").alias("ca")), [group, "a"]).join(

@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 from folioframe.functions.scores import r6, top_k
 from folioframe.operators import index as I
 from folioframe.operators import search as S
+from folioframe.operators.masks import ANY
 from folioframe.session import cut_lineage
 
 HYBRID, DENSE, SPARSE = "hybrid", "dense", "sparse"
-#: The predicate of a request without filters.
-ANY = "[]"
 BUCKET_BITS = 32_768
 
 
@@ -170,7 +169,7 @@ def search_requests(requests: DataFrame, chunks: DataFrame, filters: DataFrame,
     told = Filters(predicates, cut_lineage(compiled(predicates, bitmaps)), bitmaps.numbers)
 
     sparse_asked = requests.filter(F.col("mode") != DENSE).select("query_id", "text")
-    sparse = top_k(told.keep(S.bm25_over_texts(sparse_asked, chunks)), "query_id", most, *S.best())
+    sparse = S.bm25_search(sparse_asked, chunks, most, predicates=predicates)
     dense_asked = requests.filter(F.col("mode") != SPARSE).select(F.col("query_id").alias("chunk_id"), "text")
     vectors = I.embed_chunks(dense_asked, dim).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
     dense = dense_leg(vectors, I.embed_chunks(chunks, dim).withColumnRenamed("embedding", "vector"), told, most, dim)

@@ -19,6 +19,7 @@ from folioframe.functions import text as X
 from folioframe.functions.lexicon import QUERY_STOP
 from folioframe.functions.scores import clamp01, r6, top_k
 from folioframe.operators import index as I
+from folioframe.operators.masks import ANY, compile_masks
 from folioframe.session import cut_lineage
 
 def best() -> tuple[Column, Column]:
@@ -83,27 +84,34 @@ def word_statistics(chunks: DataFrame) -> tuple[DataFrame, float]:
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, wanted: dict[str, object] | None = None,
-                statistics: tuple[DataFrame, float] | None = None) -> DataFrame:
+                statistics: tuple[DataFrame, float] | None = None, predicates: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Okapi BM25 top-k; ``wanted`` restricts the candidates before the cut.
 
     All words of a chunk stand in one row, so its scores are finished where the row is read and
     only the ``k`` best of each task and query are shuffled, not every (query, chunk) that share
     a word. The weights of the queries' words are cut by query into blocks of about TERM_ROWS.
     ``statistics`` are the chunks' ``word_statistics``, where they are known already.
+    ``predicates`` (``query_id, predicate``) are filters of each query's own on the chunks'
+    ``metadata``; ``by`` names a column of the chunks for each value of which the ``k`` best are kept.
     """
     known, avgdl = statistics or word_statistics(chunks)
     terms = cut_lineage(query_terms(queries).join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
     held = I.metadata_filter(chunks, wanted) if wanted else chunks
-    said = held.select("chunk_id", X.tokens(F.col("text")).alias("words"))
+    more = ([F.col("metadata").cast("map<string,string>").alias("metadata")] if predicates is not None else []) + ([F.col(by)] if by else [])
+    said = held.select("chunk_id", X.tokens(F.col("text")).alias("words"), *more)
     blocks = max(1, -(-terms.count() // TERM_ROWS))
     found = None
     for number in range(blocks):
-        part = _bm25_block(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number), said, avgdl, k)
+        def of_block(rows: DataFrame) -> DataFrame:
+            return rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+
+        part = _bm25_block(of_block(terms), said, avgdl, k, None if predicates is None else of_block(predicates), by)
         found = part if found is None else found.unionByName(part)
-    return top_k(found, "query_id", k, *best()).select("query_id", "chunk_id", "score", "rank")
+    return top_k(found, ["query_id", by] if by else "query_id", k, *best()).select("query_id", "chunk_id", "score", *([by] if by else []), "rank")
 
 
-def _bm25_block(block: DataFrame, said: DataFrame, avgdl: float, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def _bm25_block(block: DataFrame, said: DataFrame, avgdl: float, k: int, filters: DataFrame | None = None, by: str | None = None,
+                k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Best ``k`` of every partition for each query of one bounded block of query terms."""
     picked = block.orderBy("term", "query_id").toArrow().combine_chunks()
     asked = pc.unique(picked["query_id"].combine_chunks() if picked.num_rows else pa.array([], picked.schema.field("query_id").type))
@@ -111,7 +119,14 @@ def _bm25_block(block: DataFrame, said: DataFrame, avgdl: float, k: int, k1: flo
     owner = pc.index_in(picked["query_id"], asked).to_numpy().astype(np.int64)
     place = pc.index_in(picked["term"], terms).to_numpy().astype(np.int64)
     starts = np.searchsorted(place, np.arange(len(terms) + 1))
-    shared = said.sparkSession.sparkContext.broadcast((asked, terms, starts, owner, picked["weight"].to_numpy()))
+    sc = said.sparkSession.sparkContext
+    shared = sc.broadcast((asked, terms, starts, owner, picked["weight"].to_numpy()))
+    masks = None
+    if filters is not None:
+        told = dict(zip(*(filters.select("query_id", "predicate").toArrow()[n].to_pylist() for n in ("query_id", "predicate")), strict=True))
+        of_query = [told.get(q, ANY) for q in asked.to_pylist()]
+        different = {p: i for i, p in enumerate(sorted(set(of_query)))}
+        masks = sc.broadcast((compile_masks(list(different)), np.array([different[p] for p in of_query], dtype=np.int64)))
     rows = max(1, SCORE_BYTES // (16 * max(1, len(asked))))
     q_type, c_type = _id_type(block, "query_id"), _id_type(said, "chunk_id")
 
@@ -132,24 +147,38 @@ def _bm25_block(block: DataFrame, said: DataFrame, avgdl: float, k: int, k1: flo
         total = np.where(np.bincount(cell, minlength=size) > 0, np.round(total, 6), -np.inf)
         return total.reshape(len(asked), len(words))
 
+    def groups(part: pa.Table) -> Iterator[tuple[object, np.ndarray]]:
+        """The values of ``by`` with the rows that have them; all rows otherwise."""
+        if by is None:
+            yield None, np.arange(part.num_rows)
+            return
+        label = part[by].combine_chunks().dictionary_encode("encode")
+        for number, value in enumerate(label.dictionary.to_pylist()):
+            yield value, np.flatnonzero(label.indices.to_numpy() == number)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value[0]
-        best, kind = None, None
+        best, kind, label = {}, None, None
         for whole in batches:
             for low in range(0, whole.num_rows if len(asked) else 0, rows):
                 part = pa.Table.from_batches([whole.slice(low, rows)]).sort_by("chunk_id").combine_chunks()
-                kind = part["chunk_id"].type
+                kind, label = part["chunk_id"].type, part.schema.field(by).type if by else None
                 ids = np.array(part["chunk_id"].to_pylist(), dtype=object if pa.types.is_string(kind) else None)
                 got = scores(part["words"].combine_chunks())
-                first = np.argsort(-got, axis=1, kind="stable")[:, :k]
-                best = _merged(best, (np.take_along_axis(got, first, 1), ids[first]), k)
-        if best is not None:
-            query, seat = np.nonzero(best[0] > -np.inf)
-            yield pa.RecordBatch.from_arrays(
-                [asked.take(pa.array(query)), pa.array(best[1][query, seat].tolist(), kind), pa.array(best[0][query, seat])],
-                names=["query_id", "chunk_id", "score"])
-
-    return said.mapInArrow(run, f"query_id {q_type}, chunk_id {c_type}, score double")
+                if masks is not None:
+                    compiled, of_query = masks.value
+                    got = np.where(compiled.met(part["metadata"].combine_chunks())[of_query], got, -np.inf)
+                for value, own in groups(part):
+                    first = np.argsort(-got[:, own], axis=1, kind="stable")[:, :k]
+                    best[value] = _merged(best.get(value), (np.take_along_axis(got[:, own], first, 1), ids[own][first]), k)
+        for value, (score, found) in best.items():
+            query, seat = np.nonzero(score > -np.inf)
+            columns = {"query_id": asked.take(pa.array(query)), "chunk_id": pa.array(found[query, seat].tolist(), kind), "score": pa.array(score[query, seat])}
+            if by:
+                columns[by] = pa.array([value] * len(query), label)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return said.mapInArrow(run, f"query_id {q_type}, chunk_id {c_type}, score double" + (f", `{by}` {_id_type(said, by)}" if by else ""))
 
 
 def search_index(queries: DataFrame, posted: DataFrame, stats: DataFrame, k: int = 10, epsilon: float = 0.25) -> DataFrame:
@@ -575,9 +604,7 @@ def federated_search(sources: dict[str, DataFrame], queries: DataFrame, k: int =
 
 def federated_by_column(queries: DataFrame, chunks: DataFrame, source: str, k: int = 10) -> DataFrame:
     """As ``federated_search`` with the source in a column: one top-k per query and source."""
-    scored = bm25_over_texts(queries, chunks)
-    tagged = scored.join(chunks.select("chunk_id", source), "chunk_id")
-    return top_k(tagged, ["query_id", source], k, *best())
+    return bm25_search(queries, chunks, k, by=source)
 
 
 def merge_results(lists: list[DataFrame]) -> DataFrame:

@@ -560,6 +560,15 @@ def spread_ids(run: DataFrame) -> DataFrame:
     return run.repartition(parts, F.xxhash64("query_id", "chunk_id"))
 
 
+def with_texts(run: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of a written run with the columns of ``texts``, dealt over all shuffle partitions.
+
+    The size of a written run is known, so Spark sends it to the texts where these are read, and
+    only the texts found are shuffled. A run too large for that meets them in a shuffle.
+    """
+    return spread_ids(run.join(texts, "chunk_id"))
+
+
 # -- composed search --------------------------------------------------------------------
 
 

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.operators import search as S
 from folioframe.plans.registry import cte
+from folioframe.session import cut_lineage
 from folioframe.sources.tables import Corpus
 
 
 def runs(c: Corpus) -> DataFrame:
-    """BM25 top 10 of every benchmark passage; k rows per query, kept for the session."""
+    """BM25 top 10 of every benchmark passage; k rows per query, written once for the session."""
     if not hasattr(c, "_runs"):
-        c._runs = S.bm25_search(c.queries, c.chunks, 10).persist(StorageLevel.MEMORY_AND_DISK)
+        c._runs = cut_lineage(S.bm25_search(c.queries, c.chunks, 10))
     return c._runs
 
 
 def evidence(c: Corpus) -> DataFrame:
-    """The run with texts: at most ten rows per query."""
-    judged = runs(c).withColumn("relevance", S.scaled(F.col("score"), "minmax", ["query_id"]))
-    return S.spread_ids(judged).join(c.chunks.select("chunk_id", "text", "lang", "source"), "chunk_id")
+    """The run with texts: at most ten rows per query, written once for the session."""
+    if not hasattr(c, "_evidence"):
+        judged = runs(c).withColumn("relevance", S.scaled(F.col("score"), "minmax", ["query_id"]))
+        c._evidence = cut_lineage(S.with_texts(judged, c.chunks.select("chunk_id", "text", "lang", "source")))
+    return c._evidence
 
 
 def qa(c: Corpus) -> DataFrame:

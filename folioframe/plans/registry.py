@@ -71,8 +71,4 @@ def runner(fn: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession, str], D
 
 def forget() -> None:
     """Drop what shared views have kept, so that the next query starts from the tables."""
-    for shared in _corpora.values():
-        kept = getattr(shared, "_runs", None)
-        if kept is not None:
-            kept.unpersist()
     _corpora.clear()

@@ -48,6 +48,17 @@ def document_frequency(chunks: DataFrame) -> DataFrame:
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def words_and_lengths(chunks: DataFrame) -> DataFrame:
+    """``term, df`` of all words and, in the same pass, the number of chunks of each length.
+
+    A length is counted as a blank and its digits, which no word looks like; a text that is
+    null as a blank alone.
+    """
+    words = X.let(X.tokens(F.col("text")), lambda w: F.array_append(F.array_distinct(w), F.concat(F.lit(" "), F.size(w).cast("string"))))
+    said = chunks.select(F.explode_outer(F.coalesce(words, F.array(F.lit(" ")))).alias("term")).filter("term IS NOT NULL")
+    return said.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def corpus_stats(stats: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length."""
     return stats.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -55,7 +66,11 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 def with_idf(df: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """Adds ``raw_idf, idf`` to ``term, df``; a negative idf becomes ``epsilon`` times the mean of all."""
-    n = corpus_stats(stats).select("n_docs").scalar()
+    return idf_among(df, corpus_stats(stats).select("n_docs").scalar(), epsilon)
+
+
+def idf_among(df: DataFrame, n: Column, epsilon: float = 0.25) -> DataFrame:
+    """The same among ``n`` chunks; a row whose ``df`` is null has no part in the mean."""
     raw = df.withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw_idf")).scalar()
     return raw.withColumn("idf", F.when(F.col("raw_idf") < 0, epsilon * mean).otherwise(F.col("raw_idf")))

@@ -76,15 +76,23 @@ def bm25_over_texts(queries: DataFrame, chunks: DataFrame, epsilon: float = 0.25
 TERM_ROWS = 1 << 20
 
 
-def word_statistics(chunks: DataFrame) -> tuple[DataFrame, float]:
-    """``term, idf`` of all words and the mean length of a chunk, for several searches of the same chunks."""
-    stats = I.doc_stats(chunks)
-    known = I.with_idf(I.document_frequency(chunks), stats).select("term", "idf")
-    return known, I.corpus_stats(stats).first()["avgdl"] or 1.0
+def word_statistics(chunks: DataFrame) -> DataFrame:
+    """``term, idf`` of all words, each with the mean length of a chunk as ``avgdl``, from one pass over the texts.
+
+    Nothing is filtered by ``term`` between the counts and their uses: Spark would move such a
+    filter below the counts, which then were different ones and counted once more.
+    """
+    counted = I.words_and_lengths(chunks)
+    is_length = F.startswith("term", F.lit(" "))
+    length = F.when(is_length, F.substring("term", 2, 20).try_cast("long"))
+    n = counted.agg(F.sum(F.when(is_length, F.col("df")))).scalar()
+    avgdl = counted.agg(F.sum(length * F.col("df")).cast("double") / F.sum(F.when(length.isNotNull(), F.col("df")))).scalar()
+    words = counted.withColumn("df", F.when(~is_length, F.col("df")))
+    return I.idf_among(words, n).select("term", "idf", F.coalesce(F.nullif(avgdl, F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, wanted: dict[str, object] | None = None,
-                statistics: tuple[DataFrame, float] | None = None, predicates: DataFrame | None = None, by: str | None = None) -> DataFrame:
+                statistics: DataFrame | None = None, predicates: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Okapi BM25 top-k; ``wanted`` restricts the candidates before the cut.
 
     All words of a chunk stand in one row, so its scores are finished where the row is read and
@@ -94,12 +102,13 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, wanted: dict
     ``predicates`` (``query_id, predicate``) are filters of each query's own on the chunks'
     ``metadata``; ``by`` names a column of the chunks for each value of which the ``k`` best are kept.
     """
-    known, avgdl = statistics or word_statistics(chunks)
-    terms = cut_lineage(query_terms(queries).join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    known = word_statistics(chunks) if statistics is None else statistics
+    terms = cut_lineage(query_terms(queries).join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl"))
+    rows, avgdl = terms.agg(F.count(F.lit(1)), F.max("avgdl")).first()
     held = I.metadata_filter(chunks, wanted) if wanted else chunks
     more = ([F.col("metadata").cast("map<string,string>").alias("metadata")] if predicates is not None else []) + ([F.col(by)] if by else [])
     said = held.select("chunk_id", X.tokens(F.col("text")).alias("words"), *more)
-    blocks = max(1, -(-terms.count() // TERM_ROWS))
+    blocks = max(1, -(-rows // TERM_ROWS))
     found = None
     for number in range(blocks):
         def of_block(rows: DataFrame) -> DataFrame:

@@ -487,6 +487,5 @@ SELECT r.query_id, CASE WHEN r.confidence >= 0.98 THEN 1 WHEN s.confidence >= 0.
    WHERE x.query_id = r.query_id AND (n = 1 OR (n = 2 AND r.confidence < 0.98) OR (n = 3 AND r.confidence < 0.98 AND s.confidence < 0.98))) AS results
 FROM round_1 r JOIN round_2 s USING (query_id) JOIN round_3 t USING (query_id)""", "round_1", "round_2", "round_3")
 def _(c):
-    known, average = S.word_statistics(c.chunks)
-    stored = cut_lineage(known), average
+    stored = cut_lineage(S.word_statistics(c.chunks))
     return S.iterative_search(c.queries, lambda q: S.bm25_search(q, c.chunks, 10, statistics=stored), threshold=0.98, rounds=3)
